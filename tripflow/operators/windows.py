@@ -71,3 +71,40 @@ def group_size_filter(df: DataFrame, keys: list[str], min_exclusive: int, name:
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     from .quality import dedup_key
     return dedup_key(df, key, order)
+
+
+def running_totals(df: DataFrame, order: list, sums: list[str], partition: list[str] | None = None,
+                   buckets: int | None = None, prefix: str = "cum_", rn: str | None = None) -> DataFrame:
+    """Inclusive running sums (and optionally a 1-based row number) in
+    ``order`` within ``partition`` — exact, without sending a whole group
+    through one task.
+
+    Two levels: rows are range-partitioned on (partition, order) into
+    ordered buckets (equal keys stay together); each bucket sums its rows
+    locally, a tiny table of bucket totals yields each bucket's offset, and
+    the offset is added to the within-bucket running sums.  The bucket
+    assignment is frozen with a reliable checkpoint so recomputation cannot
+    reshuffle rows across buckets."""
+    from pyspark.sql import Window as _W
+    from ..session import ensure_checkpoint_dir
+    partition = list(partition or [])
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [o if not isinstance(o, str) else F.col(o) for o in order]
+    b = df.repartitionByRange(buckets, *[F.col(p) for p in partition], *order_cols) \
+        .withColumn("__pid", F.spark_partition_id()).checkpoint()
+    keys = partition + ["__pid"]
+    w_in = _W.partitionBy(*keys).orderBy(*order_cols).rowsBetween(_W.unboundedPreceding, 0)
+    cols = {f"__in_{s}": F.sum(s).over(w_in) for s in sums}
+    if rn:
+        cols["__in_rn"] = F.row_number().over(_W.partitionBy(*keys).orderBy(*order_cols))
+    inner = b.withColumns(cols)
+    tot_aggs = [F.sum(s).alias(f"__t_{s}") for s in sums] + ([F.count("*").alias("__t_rn")] if rn else [])
+    tots = b.groupBy(*keys).agg(*tot_aggs)
+    w_off = _W.partitionBy(*partition).orderBy("__pid").rowsBetween(_W.unboundedPreceding, -1)
+    names = sums + (["rn"] if rn else [])
+    offs = tots.select(*keys, *[F.coalesce(F.sum(f"__t_{s}").over(w_off), F.lit(0)).alias(f"__o_{s}") for s in names])
+    out = inner.join(F.broadcast(offs), keys)
+    res = out.withColumns({(f"{prefix}{s}" if s != "rn" else rn): F.col(f"__in_{s}") + F.col(f"__o_{s}") for s in names})
+    return res.drop(*[c for c in res.columns if c.startswith("__")])
