@@ -197,5 +197,13 @@ def one_row(df_agg: DataFrame) -> DataFrame:
 
 
 def r_round(c: Column, d: int) -> Column:
-    """Rounded double without negative zero (DuckDB prints -0.0 otherwise)."""
-    return F.round(c.cast("double"), d) + F.lit(0.0)
+    """Round half away from zero on the binary value: sign(x) *
+    floor(|x| * 10^d + 0.5) / 10^d, then +0.0 (no negative zero).
+
+    Spark's ``round`` rounds the shortest decimal text of the double
+    (10.075 -> 10.08) while SQL engines and R round the binary value
+    (10.0749999... -> 10.07); this form gives the latter, bit-identically to
+    ``round(x, d)`` in DuckDB."""
+    x = c.cast("double")
+    p = float(10 ** d)
+    return F.signum(x) * F.floor(F.abs(x) * p + 0.5).cast("double") / p + F.lit(0.0)
