@@ -165,23 +165,42 @@ def grouped_quantile(df: DataFrame, keys: list[str], col: str, p: float, alias:
 def first_seen_mode(df: DataFrame, cols: list[str], order_cols: list[str]) -> dict[str, str | None]:
     """Mode of each column as a string (cast back by the caller).
 
-    One shuffle for all columns: rows are stacked as (column, value), counted
-    with map-side combine, and the winner per column is the largest count,
-    earliest first occurrence in ``order_cols`` order.
+    One shuffle for all columns: rows are stacked as (column, value) and
+    counted with map-side combine, carrying the earliest first-order key
+    (a fixed-width long, so the aggregate stays a codegen'd hash
+    aggregate).  The winner per column is the largest count, then the
+    earliest first occurrence; remaining ties on the first key are settled by
+    the later order keys over only the few tied candidate rows.
     """
     if not cols:
         return {}
-    order = F.struct(*[F.col(c) for c in order_cols])
-    stacked = df.select(order.alias("__o"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("x"))
-    counted = (stacked.where(F.col("x.v").isNotNull())
-               .groupBy(F.col("x.c").alias("c"), F.col("x.v").alias("v"))
-               .agg(F.count("*").alias("n"), F.min("__o").alias("first")))
-    best = (counted.groupBy("c")
-            .agg(F.min_by("v", F.struct((-F.col("n")).alias("nn"), F.col("first").alias("f"))).alias("mode"))
-            .collect())
-    found = {r["c"]: r["mode"] for r in best}
-    return {c: found.get(c) for c in cols}
+    first, rest = order_cols[0], order_cols[1:]
+    stacked = df.select(F.col(first).alias("__o"), *[F.col(c).alias(f"__r{i}") for i, c in enumerate(rest)],
+                        F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                            for c in cols])).alias("x"))
+    stacked = stacked.select("__o", *[f"__r{i}" for i in range(len(rest))], "x.c", "x.v").where(F.col("v").isNotNull())
+    counted = stacked.groupBy("c", "v").agg(F.count("*").alias("n"), F.min("__o").alias("first"))
+    best = counted.groupBy("c").agg(F.max("n").alias("bn"))
+    tops = counted.join(F.broadcast(best), "c").where(F.col("n") == F.col("bn"))
+    firsts = tops.groupBy("c").agg(F.min("first").alias("bf"))
+    cand = tops.join(F.broadcast(firsts), "c").where(F.col("first") == F.col("bf")).select("c", "v", "first").collect()
+    by_col: dict[str, list] = {}
+    for r in cand:
+        by_col.setdefault(r["c"], []).append((r["v"], r["first"]))
+    out = {}
+    tied = {c: vs for c, vs in by_col.items() if len(vs) > 1}
+    for c, vs in by_col.items():
+        if len(vs) == 1:
+            out[c] = vs[0][0]
+    if tied and rest:
+        keys = df.sparkSession.createDataFrame([(c, v, f) for c, vs in tied.items() for v, f in vs], "c string, v string, first long")
+        rows = (stacked.join(F.broadcast(keys), ["c", "v"]).where(F.col("__o") == F.col("first"))
+                .groupBy("c", "v").agg(F.min(F.struct(*[f"__r{i}" for i in range(len(rest))])).alias("k"))
+                .groupBy("c").agg(F.min_by("v", F.struct("k", "v")).alias("m")).collect())
+        out.update({r["c"]: r["m"] for r in rows})
+    elif tied:
+        out.update({c: min(v for v, _ in vs) for c, vs in tied.items()})
+    return {c: out.get(c) for c in cols}
 
 
 def mode_alpha(df: DataFrame, keys: list[str], col: str, alias: str) -> DataFrame:

@@ -198,18 +198,27 @@ class CleanResult:
     counts: dict = field(default_factory=dict)
 
 
-def clean(df: DataFrame, key: str = "trip_id") -> CleanResult:
+def _checkpoint(df: DataFrame, name: str) -> DataFrame:
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def clean(df: DataFrame, key: str = "trip_id", stage=_checkpoint) -> CleanResult:
     """Phase-2 pipeline: keys → impute → dedup → winsorize → circular flag.
 
-    Row counts of the audit log are taken with ``observe`` (metrics ride on
-    the jobs that already run), not with extra scans.
+    The statistics (medians, modes, IQR bounds) need several passes over
+    their input, so the two inputs they read are materialised once with
+    ``stage(df, name)`` (reliable checkpoint by default; the stage module
+    writes Parquet to the shared folder) instead of re-running the source
+    joins for every pass.
     """
     counts = {}
     raw = df
-    t1 = drop_all_null(drop_missing_keys(df, (key,)), DELAY_COLS).dropna(subset=["date"])
+    t1 = stage(drop_all_null(drop_missing_keys(df, (key,)), DELAY_COLS).dropna(subset=["date"]), "keys")
     t2, med = impute_median(t1, MEDIAN_COLS)
     t3, modes = impute_mode(t2, [c for c in MODE_COLS if c in t2.columns])
-    t4 = dedup_key(dedup_rows(t3, [c for c in TRIP_COLUMNS if c in t3.columns]), key)
+    t4 = stage(dedup_key(dedup_rows(t3, [c for c in TRIP_COLUMNS if c in t3.columns]), key), "dedup")
     bounds = outlier_bounds(t4, OUTLIER_COLS)
     t5 = circular_flag(winsorize(t4, bounds))
     counts["raw"] = raw

@@ -36,9 +36,10 @@ def _pr_sql(rounds: int = PR_ROUNDS) -> str:
              "pr0 AS (SELECT node, dangling, 1.0 / (SELECT n FROM nv) AS r FROM vd)"]
     for k in range(1, rounds + 1):
         parts.append(
-            f"pr{k} AS (SELECT vd.node, vd.dangling, 0.15 / (SELECT n FROM nv) + 0.85 * (coalesce(c.c, 0.0) + "
-            f"(SELECT coalesce(sum(r) FILTER (WHERE dangling), 0.0) FROM pr{k - 1}) / (SELECT n FROM nv)) AS r FROM vd LEFT JOIN "
-            f"(SELECT t AS node, sum(r * p) AS c FROM pr{k - 1} JOIN tp ON node = s GROUP BY t) c USING (node))")
+            f"prc{k} AS (SELECT t AS node, sum(r * p) AS c, max(dm) AS dm FROM (SELECT node, r, sum(CASE WHEN dangling THEN r ELSE 0.0 END) "
+            f"OVER () AS dm FROM pr{k - 1}) q LEFT JOIN tp ON q.node = tp.s GROUP BY t), "
+            f"pr{k} AS (SELECT vd.node, vd.dangling, 0.15 / (SELECT n FROM nv) + 0.85 * (coalesce(prc{k}.c, 0.0) + "
+            f"max(prc{k}.dm) OVER () / (SELECT n FROM nv)) AS r FROM vd LEFT JOIN prc{k} USING (node))")
     return ", ".join(parts) + f", prf AS (SELECT node, r AS pagerank FROM pr{rounds}) "
 
 
@@ -77,10 +78,11 @@ def _sp_sql(undirected: bool, hops: int = 8) -> str:
     base = "SELECT origin_station AS a, destination_station AS b, weight AS w FROM ew"
     if undirected:
         base += " UNION ALL SELECT destination_station, origin_station, weight FROM ew"
-    parts = [f", wmin AS (SELECT a, b, min(w) AS w FROM ({base}) GROUP BY a, b), d1 AS (SELECT a AS s, b AS t, w AS d FROM wmin WHERE a <> b)"]
+    parts = [f", wmin AS (SELECT a, b, min(w) AS w FROM ({base}) GROUP BY a, b), "
+             "w0 AS (SELECT a, b, w FROM wmin WHERE a <> b UNION ALL SELECT node, node, 0.0 FROM vx), "
+             "d1 AS (SELECT a AS s, b AS t, w AS d FROM wmin WHERE a <> b)"]
     for k in range(2, hops + 1):
-        parts.append(f"d{k} AS (SELECT s, t, min(d) AS d FROM (SELECT s, t, d FROM d{k - 1} UNION ALL SELECT s, b AS t, d + w AS d "
-                     f"FROM d{k - 1} JOIN wmin ON t = a WHERE s <> b) GROUP BY s, t)")
+        parts.append(f"d{k} AS (SELECT s, b AS t, min(d + w) AS d FROM d{k - 1} JOIN w0 ON t = a WHERE s <> b GROUP BY s, b)")
     return ", ".join(parts) + f", dist AS (SELECT * FROM d{hops}) "
 
 

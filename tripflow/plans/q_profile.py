@@ -41,7 +41,7 @@ def prof_distinct(spark, sf):
     return P.distinct_counts(trips(spark, sf), TRIP_COLUMNS)
 
 
-@register("prof_report", with_trips(_nulls_sql(True) + " UNION ALL BY NAME " + _distinct_sql(True)))
+@register("prof_report", with_trips("SELECT * FROM (" + _nulls_sql(True) + ") UNION ALL BY NAME SELECT * FROM (" + _distinct_sql(True) + ")"))
 def prof_report(spark, sf):
     df = trips(spark, sf)
     a = P.null_counts(df, TRIP_COLUMNS).withColumn("Section", F.lit("Missing Values"))

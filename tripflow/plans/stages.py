@@ -42,7 +42,8 @@ def materialize(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
 def clean_result(spark: SparkSession, sf_dir: str) -> quality.CleanResult:
     key = ("clean", sf_dir, spark.sparkContext.applicationId)
     if key not in _MEMO:
-        _MEMO[key] = quality.clean(trips(spark, sf_dir))
+        _MEMO[key] = quality.clean(
+            trips(spark, sf_dir), stage=lambda df, name: materialize(spark, df, stage_path(spark, sf_dir, f"clean-{name}")))
     return _MEMO[key]
 
 
