@@ -372,7 +372,7 @@ def agg_scatter_sample(spark, sf):
 
 @register("agg_cluster_ellipse", None)
 def agg_cluster_ellipse(spark, sf):
-    from .q_cluster import kmeans_scores
+    from .q_ml import kmeans_scores
     s = kmeans_scores(spark, sf)
     return s.groupBy("cluster").agg(F.count("*").alias("n"), r_round(F.avg("PC1"), 4).alias("mean_pc1"),
                                     r_round(F.avg("PC2"), 4).alias("mean_pc2"), r_round(F.var_samp("PC1"), 4).alias("var_pc1"),
