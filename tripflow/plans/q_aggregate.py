@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import exact_quantiles, first_seen_mode, grouped_quantile, mode_alpha, r_round
 from ..operators import aggregate as A
 from ..operators.features import route_stats, scaling_params, station_stats
-from ..sources.fixtures import trips
+from .stages import raw_trips as trips
 from .oracle_ctes import with_clean, with_trips, with_xform
 from .registry import register
 from .stages import cleaned, transformed

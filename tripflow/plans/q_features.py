@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.stats import r_round
 from ..operators import features as FE
-from ..sources.fixtures import trips
+from .stages import raw_trips as trips
 from .oracle_ctes import with_clean, with_trips, with_xform
 from .registry import register
 from .stages import cleaned, transformed

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators.quality import TRIP_COLUMNS
-from ..sources.fixtures import trips
+from .stages import raw_trips as trips
 from .oracle_ctes import with_trips
 from .registry import register
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import r_round
 from ..operators import quality as Q
-from ..sources.fixtures import trips
+from .stages import raw_trips as trips
 from .oracle_ctes import clean_ctes, with_clean, with_trips
 from .registry import register
 from .stages import clean_result, cleaned
@@ -19,12 +19,9 @@ def _after_keys(spark, sf):
 
 
 def _deduped(spark, sf):
-    """The clean stage up to de-duplication, imputed with the stage's values."""
-    res = clean_result(spark, sf)
-    t = _after_keys(spark, sf)
-    t = t.withColumns({c: F.coalesce(F.col(c), F.lit(res.medians[c]).cast(t.schema[c].dataType)) for c in Q.MEDIAN_COLS})
-    t = t.withColumns({c: F.coalesce(F.col(c), F.lit(res.modes[c]).cast(t.schema[c].dataType)) for c in Q.MODE_COLS})
-    return Q.dedup_key(Q.dedup_rows(t, Q.TRIP_COLUMNS), "trip_id")
+    """The clean stage up to de-duplication (read from its Parquet stage)."""
+    from .stages import deduped
+    return deduped(spark, sf)
 
 
 @register("flt_required_keys", with_trips(

@@ -35,18 +35,32 @@ def stage_path(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 def materialize(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     if not _exists(spark, path):
-        df.write.mode("overwrite").parquet(path)
+        # modest row groups keep stage reads splittable even when a small
+        # stage lands in a few files
+        df.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.parquet(path)
 
 
+def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loaded trips table as a Parquet stage (the reference's raw
+    hand-off file): the five-way source join runs once per input folder."""
+    return materialize(spark, trips(spark, sf_dir), stage_path(spark, sf_dir, "raw"))
+
+
 def clean_result(spark: SparkSession, sf_dir: str) -> quality.CleanResult:
     key = ("clean", sf_dir, spark.sparkContext.applicationId)
     if key not in _MEMO:
         _MEMO[key] = quality.clean(
-            trips(spark, sf_dir), stage=lambda df, name: materialize(spark, df, stage_path(spark, sf_dir, f"clean-{name}")))
+            raw_trips(spark, sf_dir), stage=lambda df, name: materialize(spark, df, stage_path(spark, sf_dir, f"clean-{name}")))
     return _MEMO[key]
 
 
+def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean stage up to de-duplication (imputed, one row per trip)."""
+    clean_result(spark, sf_dir)
+    return spark.read.parquet(stage_path(spark, sf_dir, "clean-dedup"))
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = clean_result(spark, sf_dir)
     return materialize(spark, res.df, stage_path(spark, sf_dir, "cleaned"))
