@@ -110,15 +110,15 @@ def binned_trend(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
 def corr_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every column pair on complete cases, long form.
 
-    One aggregate computes all p(p-1)/2 ``corr`` terms in a single pass."""
-    cc = df.select(*cols).dropna()
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j > i:
-                aggs.append(F.corr(a, b).alias(f"c_{i}_{j}"))
-                pairs.append((i, j))
-    one = cc.agg(*aggs)
+    Two passes over the data: a one-row mean aggregate (broadcast), then ONE
+    aggregate of the p(p+1)/2 centred co-moment sums (plain sums keep the
+    aggregate inside whole-stage codegen, unlike p(p-1)/2 separate ``corr``
+    buffers; centring keeps it numerically stable)."""
+    cc = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    means = F.broadcast(cc.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(cols)]))
+    cen = cc.crossJoin(means).select(*[(F.col(c) - F.col(f"__m{i}")).alias(f"d{i}") for i, c in enumerate(cols)])
+    sums = [F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s_{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
+    one = cen.agg(*sums)
     parts = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -126,7 +126,7 @@ def corr_long(df: DataFrame, cols: list[str]) -> DataFrame:
                 parts.append(f"'{a}', '{b}', CAST(1.0 AS DOUBLE)")
             else:
                 lo, hi = min(i, j), max(i, j)
-                parts.append(f"'{a}', '{b}', c_{lo}_{hi}")
+                parts.append(f"'{a}', '{b}', s_{lo}_{hi} / sqrt(s_{lo}_{lo} * s_{hi}_{hi})")
     return one.selectExpr(f"stack({len(parts)}, {', '.join(parts)}) AS (var1, var2, r)").select(
         "var1", "var2", r_round(F.col("r"), 6).alias("r"))
 
