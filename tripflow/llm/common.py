@@ -88,6 +88,20 @@ def gram_hashes(h: np.ndarray, k: int, mult: int = 0x9E3779B97F4A7C15) -> np.nda
     return out
 
 
+def pack_ints(a: np.ndarray) -> bytes:
+    """Integers as bytes: their width, the least of them, and their distances from it in that width."""
+    base = int(a.min()) if len(a) else 0
+    span = int(a.max()) - base if len(a) else 0
+    width = next(w for w in (1, 2, 4, 8) if span < 1 << (8 * w))
+    off = (a.astype(np.int64).view(np.uint64) - np.int64(base).view(np.uint64)).astype(f"<u{width}")
+    return bytes([width]) + np.int64(base).tobytes() + off.tobytes()
+
+
+def unpack_ints(data: bytes) -> np.ndarray:
+    base = np.frombuffer(data, np.uint64, 1, 1)[0]
+    return (np.frombuffer(data, f"<u{data[0]}", -1, 9).astype(np.uint64) + base).view(np.int64)
+
+
 def batches_to(rows: Iterator[dict], schema: pa.Schema, size: int = 2000, max_bytes: int = 8 << 20
                ) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most ``size`` rows and about ``max_bytes`` of text and binary cells."""

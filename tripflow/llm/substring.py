@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.llm.common import WordHash, as_docs, batches_to, gram_hashes, shuffle_partitions, text_bytes, with_keys
+from tripflow.llm.common import WordHash, as_docs, batches_to, gram_hashes, pack_ints, shuffle_partitions, text_bytes, unpack_ints, with_keys
 
 BLOCK = 1 << 20      # entries that a task gathers for a block
-MANY = 0xFFFFFFFF    # in place of a document's number: several documents of the block
+MANY = -1            # in place of a document's number: several documents of the block
 LOWEST = -(1 << 63)
 # kind 0: entries for a bucket; 1: places settled within the block; 2: the block's documents
 SWAP = pa.schema([("kind", pa.int32()), ("dest", pa.int64()), ("block", pa.int64()), ("h", pa.binary()), ("h2", pa.binary()),
@@ -84,11 +84,11 @@ class Block:
             sent, tag = ~settled, no
         else:
             settled = np.logical_or.reduceat(no != no[first][group], first)[group]
-            sent, tag = new | ~settled, np.where(settled, np.uint32(MANY), no)
+            sent, tag = new | ~settled, np.where(settled, MANY, no.astype(np.int64))
         empty = {"h": None, "h2": None, "doc": None, "no": None, "at": None}
         if settled.any():
-            yield empty | {"kind": 1, "dest": self.id, "block": self.id, "no": no[settled].tobytes(),
-                           "at": at[settled].tobytes()}
+            yield empty | {"kind": 1, "dest": self.id, "block": self.id, "no": pack_ints(no[settled]),
+                           "at": pack_ints(at[settled])}
         h, h2, no, at, doc = (x[sent] for x in (h, h2, tag, at, doc))
         bucket = (h >> np.uint64(40)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
@@ -97,8 +97,8 @@ class Block:
             i = order[cuts[b]:cuts[b + 1]]
             if len(i):
                 yield {"kind": 0, "dest": b, "block": self.id, "h": h[i].tobytes(),
-                       "h2": h2[i].tobytes() if by_least else None, "doc": doc[i].tobytes() if by_least else None,
-                       "no": no[i].tobytes(), "at": at[i].tobytes()}
+                       "h2": h2[i].tobytes() if by_least else None, "doc": pack_ints(doc[i]) if by_least else None,
+                       "no": pack_ints(no[i]), "at": pack_ints(at[i])}
         yield empty | {"kind": 2, "dest": self.id, "block": self.id, "h": k1.tobytes(),
                        "h2": np.array(self.k2, np.int64).tobytes()}
 
@@ -150,7 +150,7 @@ class WindowEntries:
         if len(h) < self.size:
             return None
         repeated = np.zeros(len(h), bool)
-        repeated[np.frombuffer(places, "<u4")] = True
+        repeated[unpack_ints(places)] = True
         at = np.flatnonzero(repeated[anchors(h, self.size, self.k)])
         second = gram_hashes(h, self.size, 0xD6E8FEB86659FD93)[at] >> np.uint64(32)
         return gram_hashes(h, self.size)[at], second.astype(np.uint32), at
@@ -165,10 +165,10 @@ def answer(batches, by_least: bool) -> Iterator[pa.RecordBatch]:
                 if r["kind"]:
                     yield r | {"dest": r["block"]}
                 else:
-                    no = np.frombuffer(r["no"], "<u4")
+                    no = unpack_ints(r["no"])
                     h2 = np.frombuffer(r["h2"], np.uint32) if by_least else np.zeros(len(no), np.uint32)
-                    doc = np.frombuffer(r["doc"], np.int64) if by_least else np.zeros(len(no), np.int64)
-                    held.append((np.frombuffer(r["h"], np.uint64), h2, doc, no, np.frombuffer(r["at"], "<u4")))
+                    doc = unpack_ints(r["doc"]) if by_least else np.zeros(len(no), np.int64)
+                    held.append((np.frombuffer(r["h"], np.uint64), h2, doc, no, unpack_ints(r["at"])))
                     block_of.append(np.full(len(no), r["block"], np.int64))
         if not held:
             return
@@ -190,7 +190,7 @@ def answer(batches, by_least: bool) -> Iterator[pa.RecordBatch]:
         ids, cuts = np.unique(block[order], return_index=True)
         for i, own in zip(ids.tolist(), np.split(order, cuts[1:])):
             yield {"kind": 1, "dest": i, "block": i, "h": None, "h2": None, "doc": None,
-                   "no": no[own].astype("<u4").tobytes(), "at": at[own].astype("<u4").tobytes()}
+                   "no": pack_ints(no[own]), "at": pack_ints(at[own])}
     return batches_to(rows(), SWAP, 500)
 
 
@@ -203,7 +203,7 @@ def gathered(batches) -> Iterator[pa.RecordBatch]:
                 if r["kind"] == 2:
                     docs[r["block"]] = np.frombuffer(r["h"], np.int64), np.frombuffer(r["h2"], np.int64)
                 else:
-                    told.setdefault(r["block"], []).append((np.frombuffer(r["no"], "<u4"), np.frombuffer(r["at"], "<u4")))
+                    told.setdefault(r["block"], []).append((unpack_ints(r["no"]), unpack_ints(r["at"])))
         for block, parts in told.items():
             no, at = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((at, no))
@@ -211,7 +211,7 @@ def gathered(batches) -> Iterator[pa.RecordBatch]:
             ids, cuts = np.unique(no, return_index=True)
             k1, k2 = docs[block]
             for i, own in zip(ids.tolist(), np.split(at, cuts[1:])):
-                yield {"k1": int(k1[i]), "k2": int(k2[i]), "places": own.astype("<u4").tobytes()}
+                yield {"k1": int(k1[i]), "k2": int(k2[i]), "places": pack_ints(own)}
     return batches_to(rows(), PLACES)
 
 
@@ -261,7 +261,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13, k: int = 4, id_col: str =
                     words, gone, runs = words_of(text), 0, 0
                     n = len(words)
                     if places:
-                        away = removed_words(n, np.frombuffer(places, "<u4").astype(np.int64), size)
+                        away = removed_words(n, unpack_ints(places), size)
                         gone, runs = int(away.sum()), int((away & ~np.r_[False, away[:-1]]).sum())
                         words = [w for w, x in zip(words, away.tolist()) if not x]
                     kept = b" ".join(words)
