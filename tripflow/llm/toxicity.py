@@ -219,19 +219,21 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, label): training rows, at most about ``most``, chosen by a hash of the id.
+    """(doc_id, text, label): training rows of at most ``most`` ids, the first by a hash of the id.
 
-    Training rows are those whose crc32(doc_id as text) mod 5 isn't 0; rows without a label are left out.
+    Training rows are those whose crc32(doc_id as text) mod 5 isn't 0; rows without a label are left out.  Half of
+    the bound is for each label, so that a rare label isn't thinned out.  The chosen ids are bounded by ``most``
+    and so broadcast: the texts of all other rows go no further than the scan.
     """
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (crc_mod(F.col("doc_id")) != 0))
              .groupBy("doc_id").agg(F.max("label").alias("label")))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    # Half of the bound for each label, so that a rare label isn't thinned out.
-    share = {k: min(1.0, most / 2 / max(1, v)) for k, v in counts.items()}
     u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000.0
-    keep = F.when(F.col("label") == 1, u < share.get(1, 1.0)).otherwise(u < share.get(0, 1.0))
-    return docs.join(known.where(keep), "doc_id").select("doc_id", "text", "label")
+    # A little more than the share wanted passes the first filter, so that few rows reach the exact cut.
+    chosen = [known.where((F.col("label") == k) & (u <= 1.2 * most / 2 / max(1, counts.get(k, 0)) + 1e-4))
+              .orderBy(u, "doc_id").limit(most // 2) for k in (0, 1)]
+    return docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "text", "label")
 
 
 @dataclass
