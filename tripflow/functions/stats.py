@@ -4,7 +4,10 @@
   columns at once, without ever gathering a column into one task: each pass is
   a single bucketed count (partial aggregation on every executor, a result of
   ``targets x buckets`` rows) that narrows the value range around the wanted
-  ranks until the bucket holding the rank has one distinct value.
+  ranks until the bucket holding the rank has one distinct value.  Buckets are
+  of equal width at first; where that doesn't narrow the range well (values
+  over many decades, infinities) they are cut at approximate quantiles, which
+  are values of the column, so that every pass ends nearer to the rank.
 * ``grouped_quantile`` — exact per-group quantile by pre-aggregated value
   counts and a running sum (sort-based, spillable).
 * ``first_seen_mode`` — the most frequent non-null value, ties broken by the
@@ -19,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
-MAX_PASSES = 24
+LINEAR_PASSES = 6    # then buckets are cut at approximate quantiles
+EDGES = 31
 
 
 def _type7_ranks(n: int, p: float) -> tuple[int, int, float]:
@@ -43,7 +47,10 @@ def exact_order_stats(df: DataFrame, requests: dict[str, list[int]],
                 targets.append([c, r, mn, mx, 0, mn])
             else:
                 targets.append([c, r, mn, mx, 0, None])
-    for _ in range(MAX_PASSES):
+    passes = 0
+    cut_at_values: set[tuple] = set()
+    while True:
+        passes += 1
         active = [i for i, t in enumerate(targets) if t[5] is None and t[2] is not None]
         if not active:
             break
@@ -53,10 +60,18 @@ def exact_order_stats(df: DataFrame, requests: dict[str, list[int]],
             key = (targets[i][0], targets[i][2], targets[i][3])
             ranges.setdefault(key, len(ranges))
         items = []
+        by_value = [k for k in ranges if passes > LINEAR_PASSES or k in cut_at_values or not math.isfinite(k[2] - k[1])]
+        edges = _edges(df, by_value)
         for (c, lo, hi), rid in ranges.items():
             v = F.col(c).cast("double")
             inside = v.between(F.lit(lo), F.lit(hi))
-            bucket = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * BUCKETS), F.lit(BUCKETS - 1))
+            if (c, lo, hi) in edges:
+                # below, at and between the edges: an edge's own value is a bucket of its own
+                bucket = F.lit(0)
+                for e in edges[c, lo, hi]:
+                    bucket = bucket + F.when(v > F.lit(e), 2).when(v == F.lit(e), 1).otherwise(0)
+            else:
+                bucket = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * BUCKETS), F.lit(BUCKETS - 1))
             items.append(F.when(inside, F.struct(F.lit(rid).alias("r"), bucket.cast("int").alias("b"),
                                                  v.alias("v"))))
         cols = {c for (c, _, _) in ranges}
@@ -77,35 +92,37 @@ def exact_order_stats(df: DataFrame, requests: dict[str, list[int]],
                 if t[1] < cum + n:
                     if mn == mx:
                         t[5] = mn
-                    elif (mn, mx) == (t[2], t[3]):
-                        # no progress (adjacent doubles in one bucket): settle exactly
-                        vals = (df.where(F.col(t[0]).cast("double").between(mn, mx))
-                                .groupBy(F.col(t[0]).cast("double").alias("v")).count()
-                                .orderBy("v").collect())
-                        c2 = cum
-                        for vr in vals:
-                            if t[1] < c2 + vr["count"]:
-                                t[5] = vr["v"]
-                                break
-                            c2 += vr["count"]
                     else:
+                        if (mn, mx) == (t[2], t[3]):
+                            cut_at_values.add((t[0], mn, mx))
                         t[2], t[3], t[4] = mn, mx, cum
                     break
                 cum += n
     return {(t[0], t[1]): t[5] for t in targets}
 
 
+def _edges(df: DataFrame, ranges: list[tuple[str, float, float]]) -> dict[tuple, list[float]]:
+    """At most EDGES values of each range's column, near its quantiles."""
+    if not ranges:
+        return {}
+    probs = [(i + 1) / (EDGES + 1) for i in range(EDGES)]
+    row = df.agg(*[F.percentile_approx(F.when(F.col(c).cast("double").between(F.lit(lo), F.lit(hi)), F.col(c).cast("double")),
+                                       probs, 1000).alias(f"e{i}") for i, (c, lo, hi) in enumerate(ranges)]).first()
+    return {k: sorted(set(row[f"e{i}"])) for i, k in enumerate(ranges)}
+
+
 def column_counts(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, float, float]]:
     aggs = []
     for c in cols:
         v = F.col(c).cast("double")
+        v = F.when(~F.isnan(v), v)
         aggs += [F.count(v).alias(f"n__{c}"), F.min(v).alias(f"mn__{c}"), F.max(v).alias(f"mx__{c}")]
     row = df.agg(*aggs).collect()[0]
     return {c: (row[f"n__{c}"], row[f"mn__{c}"], row[f"mx__{c}"]) for c in cols}
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Type-7 quantiles of each column (nulls ignored), exact and distributed."""
+    """Type-7 quantiles of each column (nulls and NaN ignored), exact and distributed."""
     counts = column_counts(df, cols)
     req: dict[str, list[int]] = {}
     plan = {}
@@ -129,7 +146,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[
                 continue
             lo, hi, frac = spec
             a, b = stats[(c, lo)], stats[(c, hi)]
-            vals.append(a + frac * (b - a) if frac else a)
+            vals.append(a + frac * (b - a) if frac and a != b else a)
         out[c] = vals
     return out
 
@@ -210,11 +227,6 @@ def mode_alpha(df: DataFrame, keys: list[str], col: str, alias: str) -> DataFram
         F.min_by(F.col(col), F.struct((-F.col("__n")).alias("a"), F.col(col).alias("b"))).alias(alias))
 
 
-def one_row(df_agg: DataFrame) -> DataFrame:
-    """Mark a one-row aggregate as broadcast (its size is proven: one row)."""
-    return F.broadcast(df_agg)
-
-
 def r_round(c: Column, d: int) -> Column:
     """Round half away from zero on the binary value: sign(x) *
     floor(|x| * 10^d + 0.5) / 10^d, then +0.0 (no negative zero).
@@ -222,7 +234,9 @@ def r_round(c: Column, d: int) -> Column:
     Spark's ``round`` rounds the shortest decimal text of the double
     (10.075 -> 10.08) while SQL engines and R round the binary value
     (10.0749999... -> 10.07); this form gives the latter, bit-identically to
-    ``round(x, d)`` in DuckDB."""
+    ``round(x, d)`` in DuckDB.  From 2^53 on a scaled value has no fraction
+    left to round (and would pass the range of BIGINT): it stays as it is."""
     x = c.cast("double")
     p = float(10 ** d)
-    return F.signum(x) * F.floor(F.abs(x) * p + 0.5).cast("double") / p + F.lit(0.0)
+    return (F.when(F.abs(x) * p < float(1 << 53), F.signum(x) * F.floor(F.abs(x) * p + 0.5).cast("double") / p)
+            .otherwise(x) + F.lit(0.0))

@@ -113,7 +113,8 @@ def corr_long(df: DataFrame, cols: list[str]) -> DataFrame:
     Two passes over the data: a one-row mean aggregate (broadcast), then ONE
     aggregate of the p(p+1)/2 centred co-moment sums (plain sums keep the
     aggregate inside whole-stage codegen, unlike p(p-1)/2 separate ``corr``
-    buffers; centring keeps it numerically stable)."""
+    buffers; centring keeps it numerically stable).  A constant column has no
+    correlation with another: NULL."""
     cc = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
     means = F.broadcast(cc.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(cols)]))
     cen = cc.crossJoin(means).select(*[(F.col(c) - F.col(f"__m{i}")).alias(f"d{i}") for i, c in enumerate(cols)])
@@ -126,7 +127,7 @@ def corr_long(df: DataFrame, cols: list[str]) -> DataFrame:
                 parts.append(f"'{a}', '{b}', CAST(1.0 AS DOUBLE)")
             else:
                 lo, hi = min(i, j), max(i, j)
-                parts.append(f"'{a}', '{b}', s_{lo}_{hi} / sqrt(s_{lo}_{lo} * s_{hi}_{hi})")
+                parts.append(f"'{a}', '{b}', try_divide(s_{lo}_{hi}, sqrt(s_{lo}_{lo} * s_{hi}_{hi}))")
     return one.selectExpr(f"stack({len(parts)}, {', '.join(parts)}) AS (var1, var2, r)").select(
         "var1", "var2", r_round(F.col("r"), 6).alias("r"))
 

@@ -4,9 +4,10 @@ distance, epsilon neighbourhoods, DBSCAN — plus cluster profiling/labelling.
 Scale design:
 * identical points are collapsed first into (x, y, multiplicity) — a hot
   duplicate point costs one row, not a quadratic group;
-* neighbours are found by a grid equi-join (cell keys shifted by a small
-  broadcast offset table), never by a cross join; exact k-NN widens the ring
-  only for the points whose k-th distance is not yet provably final;
+* neighbours are found by a grid equi-join (cell keys shifted by the nine
+  offsets around a cell), never by a cross join; exact k-NN takes wider cells
+  only for the points whose k-th distance is not yet provably final, until
+  none is left or the cells span the plane;
 * DBSCAN connects core points by iterative min-label propagation over the
   core-core edge table, checkpointing each round.
 """
@@ -21,8 +22,9 @@ from ..session import ensure_checkpoint_dir
 
 
 def points(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Distinct points with multiplicity: (x, y, m)."""
-    return (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """Distinct points with multiplicity: (x, y, m); rows without a finite
+    place in the plane are no points."""
+    return (df.where((F.abs(F.col(x).cast("double")) < float("inf")) & (F.abs(F.col(y).cast("double")) < float("inf")))
             .groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
             .agg(F.count("*").alias("m")))
 
@@ -49,28 +51,58 @@ def neighbour_pairs(p: DataFrame, cell: float, ring: int = 1) -> DataFrame:
     return j.select("x", "y", "m", "x2", "y2", "m2", d.alias("d"))
 
 
-def knn_distance(p: DataFrame, k: int, cell: float, max_ring: int = 64) -> DataFrame:
-    """Exact distance to the k-th nearest other point (self excluded,
-    duplicates count) for every distinct point: (x, y, m, knn)."""
+def _widening(p: DataFrame, cell: float, step):
+    """Union of ``step(todo, pairs)``'s final rows over ever wider cells.
+
+    ``step`` returns (rows of every todo point, condition under which a row is
+    final given the reach); points without a final row go on with cells four
+    times as wide.  Once a cell is wider than the plane, the nine cells around
+    a point hold all points and every row is final."""
     ensure_checkpoint_dir(p.sparkSession)
-    todo = p
-    done = None
-    ring = 1
-    while ring <= max_ring:
-        pairs = neighbour_pairs_subset(todo, p, cell, ring)
+    low_x, high_x, low_y, high_y = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    span = max(high_x - low_x, high_y - low_y) if low_x is not None else 0.0
+    todo, done, reach = p, None, cell
+    while True:
+        rows, is_final = step(todo, neighbour_pairs_subset(todo, p, reach, 1), reach)
+        whole = reach > span
+        rows = rows.checkpoint()
+        final = rows if whole else rows.where(is_final)
+        done = final if done is None else done.unionByName(final)
+        if whole:
+            return done
+        todo = rows.where(~F.coalesce(is_final, F.lit(False))).select("x", "y", "m").distinct().checkpoint()
+        if todo.isEmpty():
+            return done
+        reach *= 4
+
+
+def knn_distance(p: DataFrame, k: int, cell: float) -> DataFrame:
+    """Exact distance to the k-th nearest other point (self excluded,
+    duplicates count) for every distinct point: (x, y, m, knn); NULL where
+    there are fewer than k others."""
+    def step(todo, pairs, reach):
         cnt = F.when((F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")), F.col("m2") - 1).otherwise(F.col("m2"))
         c = pairs.withColumn("c", cnt).where(F.col("c") > 0)
         w = Window.partitionBy("x", "y").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
         c = c.withColumn("cum", F.sum("c").over(w))
         kth = c.where(F.col("cum") >= k).groupBy("x", "y", "m").agg(F.min("d").alias("knn"))
-        res = todo.join(kth, ["x", "y", "m"], "left").checkpoint()
-        final = res.where(F.col("knn").isNotNull() & (F.col("knn") <= ring * cell))
-        done = final if done is None else done.unionByName(final)
-        todo = res.where(F.col("knn").isNull() | (F.col("knn") > ring * cell)).select("x", "y", "m").checkpoint()
-        if todo.limit(1).count() == 0:
-            break
-        ring *= 2
-    return done
+        return todo.join(kth, ["x", "y", "m"], "left"), F.col("knn") <= reach
+    return _widening(p, cell, step)
+
+
+def nearest_points(p: DataFrame, k: int, cell: float) -> DataFrame:
+    """(x, y, m, near): for every distinct point its k nearest other distinct
+    points as an array of (d, x2, y2) in that order; fewer if there are not
+    as many."""
+    def step(todo, pairs, reach):
+        others = pairs.where((F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2")))
+        w = Window.partitionBy("x", "y").orderBy("d", "x2", "y2")
+        best = (others.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("x", "y", "m")
+                .agg(F.sort_array(F.collect_list(F.struct("d", "x2", "y2"))).alias("near")))
+        out = todo.join(best, ["x", "y", "m"], "left").withColumn(
+            "near", F.coalesce("near", F.array().cast("array<struct<d:double,x2:double,y2:double>>")))
+        return out, (F.size("near") == k) & (F.array_max(F.transform("near", lambda e: e["d"])) <= reach)
+    return _widening(p, cell, step)
 
 
 def neighbour_pairs_subset(q: DataFrame, p: DataFrame, cell: float, ring: int) -> DataFrame:
@@ -95,7 +127,8 @@ def eps_estimate(knn: DataFrame, q: float = 0.9, floor_: float = 1.5) -> float:
     """Value of the sorted k-NN distance curve at position round(q * n)
     (points weighted by multiplicity), floored.  Found by a running count
     over the distinct distance values."""
-    n = knn.agg(F.sum("m")).collect()[0][0]
+    knn = knn.where(F.col("knn").isNotNull())
+    n = knn.agg(F.sum("m")).collect()[0][0] or 0
     pos = int(round(q * n))
     from .windows import running_totals
     by_d = knn.groupBy("knn").agg(F.sum("m").alias("m"))
@@ -135,6 +168,8 @@ def dbscan(p: DataFrame, eps: float, min_pts: int = 5, max_rounds: int = 10_000)
         label = new.drop("changed")
         if changed == 0:
             break
+    else:
+        raise RuntimeError(f"DBSCAN components unsettled after {max_rounds} rounds")
     border = (pairs.join(core.select(F.col("x").alias("x2"), F.col("y").alias("y2")), ["x2", "y2"])
               .join(label.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("lab").alias("nl")), ["x2", "y2"])
               .groupBy("x", "y").agg(F.min("nl").alias("blab")))
@@ -189,5 +224,6 @@ def silhouette_sq(df: DataFrame, cluster: str, features: list[str]) -> DataFrame
     n_own = own["n"]
     a = F.when(n_own > 1, dist(own) * n_own / (n_own - 1)).otherwise(F.lit(0.0))
     b = F.array_min(F.transform(F.filter(F.col("__cs"), lambda e: e["c"] != F.col("__k")), dist))
-    s = F.when(n_own <= 1, 0.0).otherwise((b - a) / F.greatest(a, b))
+    # coincident clusters (a = b = 0) have no better or worse side: 0
+    s = F.when((n_own <= 1) | (F.greatest(a, b) <= 0), 0.0).otherwise(F.try_divide(b - a, F.greatest(a, b)))
     return x.select(s.alias("s")).agg(r_round(F.avg("s"), 6).alias("silhouette"))

@@ -46,21 +46,23 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One point per distinct threshold (score >= t is positive), ties grouped."""
+    """One point per distinct threshold (score >= t is positive), ties grouped;
+    the rate of a class that is missing is NULL."""
     sc = score_counts(df, label, score)
     tot = F.broadcast(sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
     cum = running_totals(sc, [F.desc("score")], ["pos", "neg"])
     return cum.crossJoin(tot).select(
-        F.col("score").alias("threshold"), r_round(F.col("cum_pos") / F.col("P"), 6).alias("tpr"),
-        r_round(F.col("cum_neg") / F.col("N"), 6).alias("fpr"))
+        F.col("score").alias("threshold"), r_round(F.try_divide(F.col("cum_pos").cast("double"), F.col("P")), 6).alias("tpr"),
+        r_round(F.try_divide(F.col("cum_neg").cast("double"), F.col("N")), 6).alias("fpr"))
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Mann-Whitney AUC with mid-ranks for ties (no direction flip)."""
+    """Mann-Whitney AUC with mid-ranks for ties (no direction flip); NULL if a
+    class is missing."""
     sc = score_counts(df, label, score)
     cum = running_totals(sc, [F.asc("score")], ["neg"])
-    part = cum.select((F.col("pos") * (F.col("cum_neg") - F.col("neg") + 0.5 * F.col("neg"))).alias("u"), "pos", "neg")
-    return part.agg((F.sum("u") / (F.sum("pos") * F.sum("neg"))).alias("auc")).select(r_round(F.col("auc"), 6).alias("AUC"))
+    part = cum.select((F.col("pos").cast("double") * (F.col("cum_neg") - F.col("neg") + 0.5 * F.col("neg"))).alias("u"), "pos", "neg")
+    return part.agg(F.try_divide(F.sum("u"), F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc")).select(r_round(F.col("auc"), 6).alias("AUC"))
 
 
 def error_types(df: DataFrame, label: str, pred: str) -> DataFrame:

@@ -10,13 +10,14 @@ broadcast when the measured side is small, a shuffle join otherwise).
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import (day_name, duration_minutes, label_lookup, r_week_of_year,
                                 timestamp_of, time_bucket)
 from ..functions.stats import exact_medians, r_round
-from ..sources.fixtures import EVENT_MAP, SEASON_MAP, STORM_VALUES, TRANSPORT_MAP, WEATHER_MAP
 
 # The 15 columns that get _z and _mm twins, in the reference's order.
 SCALE_COLS = ["actual_departure_delay_min", "actual_arrival_delay_min", "temperature_C",
@@ -25,6 +26,25 @@ SCALE_COLS = ["actual_departure_delay_min", "actual_arrival_delay_min", "tempera
               "weather_severity_index", "feels_like_impact", "event_impact_score",
               "congestion_weather_combo"]
 
+# The trip schema's label codes (weather by severity) and the
+# weather conditions that count as a storm.
+TRANSPORT_MAP = {"Bus": 1, "Metro": 2, "Train": 3, "Tram": 4}
+WEATHER_MAP = {"Clear": 1, "Cloudy": 2, "Fog": 3, "Rain": 4, "Snow": 5, "Storm": 6}
+EVENT_MAP = {"None": 0, "Concert": 1, "Festival": 2, "Parade": 3, "Protest": 4, "Sports": 5}
+SEASON_MAP = {"Winter": 1, "Spring": 2, "Summer": 3, "Autumn": 4}
+STORM_VALUES = ("Storm", "Snow")
+
+
+@dataclass(frozen=True)
+class LabelMaps:
+    """The value maps of a trips table; the defaults are the trip schema's own."""
+
+    transport: dict = field(default_factory=lambda: TRANSPORT_MAP)
+    weather: dict = field(default_factory=lambda: WEATHER_MAP)
+    event: dict = field(default_factory=lambda: EVENT_MAP)
+    season: dict = field(default_factory=lambda: SEASON_MAP)
+    storm: tuple = STORM_VALUES
+
 
 def add_datetimes(df: DataFrame) -> DataFrame:
     dep = timestamp_of("date", "scheduled_departure")
@@ -82,8 +102,9 @@ def add_weather_scores(df: DataFrame, storm_values=STORM_VALUES) -> DataFrame:
     mx = F.broadcast(df.agg(F.max("wind_speed_kmh").alias("__mw"),
                             F.max(F.col("precipitation_mm") + 0.01).alias("__mp")))
     storm = F.when(F.col("weather_condition").isin(*storm_values), 1.0).otherwise(0.0)
-    sev = r_round(0.3 * (F.col("wind_speed_kmh") / F.col("__mw"))
-                  + 0.4 * (F.col("precipitation_mm") / F.col("__mp")) + 0.3 * storm, 4)
+    # a maximum of 0 leaves the ratio without a value, as does a missing one
+    sev = r_round(0.3 * F.try_divide("wind_speed_kmh", "__mw")
+                  + 0.4 * F.try_divide("precipitation_mm", "__mp") + 0.3 * storm, 4)
     return df.crossJoin(mx).withColumn("weather_severity_index", sev).drop("__mw", "__mp")
 
 
@@ -160,13 +181,13 @@ def add_scaled(df: DataFrame, cols=SCALE_COLS, zscore: bool = True, minmax: bool
     return out.withColumns(new).drop(*[c for c in out.columns if c.startswith("__")])
 
 
-def transform(cleaned: DataFrame) -> DataFrame:
+def transform(cleaned: DataFrame, maps: LabelMaps = LabelMaps()) -> DataFrame:
     """Cleaned table → the 82-column transformed table (+ ingest_seq)."""
     df = add_datetimes(cleaned)
     df = add_temporal(df)
     df = add_delay_features(df)
-    df = add_label_encodings(df)
-    df = add_weather_scores(df)
+    df = add_label_encodings(df, maps.transport, maps.weather, maps.event, maps.season)
+    df = add_weather_scores(df, maps.storm)
     df = add_interactions(df)
     st = station_stats(df)
     df = join_back(df, st, "origin_station", ["station_avg_dep_delay", "station_delay_rate"])

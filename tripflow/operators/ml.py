@@ -19,7 +19,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +37,10 @@ CLASS_FEATURES = ["temperature_C", "humidity_percent", "wind_speed_kmh", "precip
                   "transport_type_enc", "season_enc"]
 
 
-# Forest sizes: the reference grows 100 trees; the tuning loop uses a
-# smaller forest so that 3 settings x k folds stay affordable.
-RF_TREES = 50
-CV_TREES = 20
+# Trees of a forest, starts of K-Means, costs of the SVM grid.
+RF_TREES = 100
+KMEANS_STARTS = 25
+SVM_COSTS = (0.25, 0.5, 1.0, 2.0, 4.0)
 
 
 def standardize(df: DataFrame, cols: list[str], key: str) -> DataFrame:
@@ -49,7 +48,8 @@ def standardize(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     params = F.broadcast(cc.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(cols)],
                                 *[F.stddev_samp(c).alias(f"__s{i}") for i, c in enumerate(cols)]))
     out = cc.crossJoin(params)
-    return out.select(key, *[((F.col(c) - F.col(f"__m{i}")) / F.col(f"__s{i}")).alias(c) for i, c in enumerate(cols)])
+    # a constant column has no scale: NULL
+    return out.select(key, *[F.try_divide(F.col(c) - F.col(f"__m{i}"), F.col(f"__s{i}")).alias(c) for i, c in enumerate(cols)])
 
 
 @dataclass
@@ -64,6 +64,9 @@ class PCAResult:
 def pca(df: DataFrame, cols: list[str], key: str, extra: tuple = ("delayed",)) -> PCAResult:
     spark = df.sparkSession
     cc = df.select(key, *extra, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    # constant columns have no part in a correlation
+    spread = cc.agg(*[F.max(c) > F.min(c) for c in cols]).first()
+    cols = [c for c, varies in zip(cols, spread) if varies]
     va = VectorAssembler(inputCols=cols, outputCol="__raw")
     sc = StandardScaler(inputCol="__raw", outputCol="__z", withMean=True, withStd=True)
     p = len(cols)
@@ -101,15 +104,26 @@ def pca_select(variance: DataFrame) -> DataFrame:
                         F.min(F.when(F.col("Cumulative_Pct") >= 90, F.regexp_extract("Component", r"(\d+)", 1).cast("int"))).alias("first_90"))
 
 
-def kmeans_fit(scores: DataFrame, cols: list[str], k: int, seed: int = 42, max_iter: int = 100) -> DataFrame:
+def best_kmeans(data: DataFrame, k: int, seed: int = 42, max_iter: int = 100, starts: int = KMEANS_STARTS):
+    """The model of least cost over ``starts`` seeds, seed, seed + 1, ..."""
+    models = (KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="__f", predictionCol="__c").fit(data) for i in range(starts))
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
+def kmeans_fit(scores: DataFrame, cols: list[str], k: int, seed: int = 42, max_iter: int = 100,
+               starts: int = KMEANS_STARTS) -> DataFrame:
     va = VectorAssembler(inputCols=cols, outputCol="__f")
-    data = va.transform(scores)
-    m = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="__f", predictionCol="__c").fit(data)
-    return m.transform(data).withColumn("cluster", F.col("__c") + 1).drop("__f", "__c")
+    data = va.transform(scores).cache()
+    m = best_kmeans(data, k, seed, max_iter, starts)
+    data.unpersist()
+    return m.transform(va.transform(scores)).withColumn("cluster", F.col("__c") + 1).drop("__f", "__c")
 
 
-def kmeans_sweep(scores: DataFrame, cols: list[str], ks, seed: int = 42) -> DataFrame:
-    """K, within-cluster SS (K=1: total SS), squared-Euclidean silhouette."""
+def kmeans_sweep(scores: DataFrame, cols: list[str], ks, seed: int = 42, starts: int = 1) -> DataFrame:
+    """K, within-cluster SS (K=1: total SS), squared-Euclidean silhouette.
+
+    One k-means|| start for each K by default: its seeding looks at the data
+    several times, and 25 starts of nine Ks are 225 fits."""
     spark = scores.sparkSession
     va = VectorAssembler(inputCols=cols, outputCol="__f")
     data = va.transform(scores).select("__f").cache()
@@ -120,7 +134,7 @@ def kmeans_sweep(scores: DataFrame, cols: list[str], ks, seed: int = 42) -> Data
     rows = [(1, float(tss), None)]
     ev = ClusteringEvaluator(featuresCol="__f", predictionCol="__c", distanceMeasure="squaredEuclidean")
     for k in ks:
-        m = KMeans(k=k, seed=seed, maxIter=100, featuresCol="__f", predictionCol="__c").fit(data)
+        m = best_kmeans(data, k, seed, 100, starts)
         sil = ev.evaluate(m.transform(data))
         rows.append((k, float(m.summary.trainingCost), float(sil)))
     data.unpersist()
@@ -184,12 +198,17 @@ def _rff(cols: list[str], d: int = 40, gamma: float = 0.05, seed: int = 42):
             for j in range(d)]
 
 
-def _scaled_features(data: DataFrame, cols: list[str]) -> DataFrame:
-    params = F.broadcast(data.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(cols)],
-                                  *[F.stddev_samp(c).alias(f"__s{i}") for i, c in enumerate(cols)]))
+def _scaling(train: DataFrame, cols: list[str]) -> DataFrame:
+    """One row of means and deviations of the training rows."""
+    return F.broadcast(train.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(cols)],
+                                 *[F.stddev_samp(c).alias(f"__s{i}") for i, c in enumerate(cols)]))
+
+
+def _scaled_features(data: DataFrame, cols: list[str], params: DataFrame) -> DataFrame:
     x = data.crossJoin(params)
-    return x.select("trip_id", "label", *[F.when(F.col(f"__s{i}") > 0, (F.col(c) - F.col(f"__m{i}")) / F.col(f"__s{i}"))
-                                          .otherwise(0.0).alias(c) for i, c in enumerate(cols)])
+    keep = [c for c in data.columns if c not in cols]
+    return x.select(*keep, *[F.when(F.col(f"__s{i}") > 0, F.try_divide(F.col(c) - F.col(f"__m{i}"), F.col(f"__s{i}")))
+                             .otherwise(0.0).alias(c) for i, c in enumerate(cols)])
 
 
 def fit_classifiers(data: DataFrame, seed: int = 42) -> dict:
@@ -219,8 +238,9 @@ def fit_classifiers(data: DataFrame, seed: int = 42) -> dict:
         [(c, float(round(float(v) * 100 / float(mx), 4))) for c, v in zip(CLASS_FEATURES, imp)], "feature string, importance double"
     ).orderBy(F.desc("importance"))
     # RBF SVM: random Fourier features of the scaled inputs, linear SVM, Platt scaling
-    tr = _scaled_features(train, CLASS_FEATURES)
-    te = _scaled_features(test, CLASS_FEATURES)
+    params = _scaling(train, CLASS_FEATURES)
+    tr = _scaled_features(train, CLASS_FEATURES, params)
+    te = _scaled_features(test, CLASS_FEATURES, params)
     rff = _rff(CLASS_FEATURES)
     tr_f = tr.select("trip_id", "label", *rff)
     te_f = te.select("trip_id", "label", *rff)
@@ -230,12 +250,11 @@ def fit_classifiers(data: DataFrame, seed: int = 42) -> dict:
     platt_in = svm.transform(tr_f).select("label", margin.alias("m"))
     platt = Pipeline(stages=[VectorAssembler(inputCols=["m"], outputCol="mf"),
                              LogisticRegression(featuresCol="mf", labelCol="label")]).fit(platt_in)
-    sv = svm.transform(te_f).select("trip_id", "label", F.col("prediction"), margin.alias("m"))
-    sp = platt.transform(sv.drop("prediction").withColumnRenamed("m", "m")).select(
-        "trip_id", vector_to_array("probability")[1].alias("prob_yes"))
-    out["SVM Radial"] = {"model": svm, "predictions": sv.join(sp, "trip_id").select(
-        "trip_id", F.col("label").cast("int").alias("delayed"), F.col("prediction").cast("int").alias("prediction"),
-        r_round(F.col("prob_yes"), 6).alias("prob_yes"))}
+    sv = svm.transform(te_f).select("trip_id", "label", F.col("prediction").alias("pred"), margin.alias("m"))
+    out["SVM (Radial)"] = {"model": svm, "predictions": platt.transform(sv).select(
+        "trip_id", F.col("label").cast("int").alias("delayed"), F.col("pred").cast("int").alias("prediction"),
+        r_round(vector_to_array("probability")[1], 6).alias("prob_yes"))}
+    train.unpersist()
     return out
 
 
@@ -250,48 +269,106 @@ def comparison(models: dict) -> DataFrame:
     return rows.orderBy("ord").drop("ord")
 
 
-def cross_validate(data: DataFrame, folds: int, only: str | None = None, seed: int = 42) -> DataFrame:
-    """k-fold CV AUC per model and parameter setting (mean and sd over folds).
-    Folds come from a hash of the key, so they are reproducible."""
+def training_rows(data: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows that ``fit_classifiers`` trains on, before up-sampling."""
+    split = EV.stratified_split(data.withColumn("__h", F.xxhash64("trip_id", F.lit(seed))), "label", ["__h", "trip_id"])
+    return split.where(F.col("split") == "train").drop("split", "__h")
+
+
+def _grid(name: str, n: int, seed: int) -> list[tuple[str, object]]:
+    """(setting, estimator) of a model's tuning grid; n: rows of a fold's training part."""
+    common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
+    if name == "Logistic Regression":
+        return [("regParam=0.0", LogisticRegression(regParam=0.0, maxIter=100, **common))]
+    if name == "Random Forest":
+        return [(f"featureSubsetStrategy={s}", RandomForestClassifier(numTrees=RF_TREES, maxDepth=6, featureSubsetStrategy=s,
+                                                                      seed=seed, **common)) for s in ("2", "sqrt", "onethird")]
+    # cost C and the penalty of the mean loss are each other's inverse, up to the number of rows
+    return [(f"C={c}", LinearSVC(regParam=1.0 / (c * n), maxIter=50, **(common | {"featuresCol": "rff"}))) for c in SVM_COSTS]
+
+
+MODELS = ("Logistic Regression", "Random Forest", "SVM (Radial)")
+
+
+def cross_validate(data: DataFrame, folds: int, only: str | None = None, setting: str | None = None, seed: int = 42) -> DataFrame:
+    """k-fold CV AUC on the training rows, per model and setting (mean and sd over folds).
+
+    Folds come from a hash of the key, so they are reproducible.  Within a
+    fold the rare class counts as often as the other (each of its rows weighs
+    M / m, what replicating it to the majority's size amounts to), inputs of
+    the SVM are scaled with the fold's training part, and the held-out part
+    stays as it is."""
     spark = data.sparkSession
-    d = data.withColumn("fold", (F.abs(F.xxhash64("trip_id", F.lit(seed))) % folds).cast("int"))
-    va = VectorAssembler(inputCols=CLASS_FEATURES, outputCol="features")
-    d = va.transform(d).select("fold", "label", "features").cache()
+    d = training_rows(data, seed).withColumn("fold", (F.abs(F.xxhash64("trip_id", F.lit(seed))) % folds).cast("int")).cache()
     ev = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
-    specs = []
-    lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=0.0, maxIter=100)
-    specs.append(("Logistic Regression", lr, ParamGridBuilder().addGrid(lr.regParam, [0.0]).build()))
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=CV_TREES, maxDepth=5, seed=seed)
-    specs.append(("Random Forest", rf, ParamGridBuilder().addGrid(rf.featureSubsetStrategy, ["2", "sqrt", "onethird"]).build()))
+    rff = _rff(CLASS_FEATURES)
+    va = VectorAssembler(inputCols=CLASS_FEATURES, outputCol="features")
+    names = [f"rff{j}" for j in range(len(rff))]
+    va_rff = VectorAssembler(inputCols=names, outputCol="rff")
+    found: dict[tuple[str, str], list[float]] = {}
+    for f in range(folds):
+        part = d.where(F.col("fold") != f)
+        counts = {r["label"]: r["count"] for r in part.groupBy("label").count().collect()}
+        most = max(counts.values())
+        w = F.lit(1.0)
+        for label, n in counts.items():
+            w = F.when(F.col("label") == label, most / n).otherwise(w)
+        params = _scaling(part, CLASS_FEATURES)
+
+        def prepared(rows, wanted):
+            rows = rows.withColumn("weight", w)
+            if wanted == "SVM (Radial)":
+                return va_rff.transform(_scaled_features(rows, CLASS_FEATURES, params).select("label", "weight", *rff)).select(
+                    "label", "weight", "rff")
+            return va.transform(rows).select("label", "weight", "features")
+        for name in MODELS:
+            if only and name != only:
+                continue
+            train, held = prepared(part, name).cache(), prepared(d.where(F.col("fold") == f), name)
+            for text, est in _grid(name, sum(counts.values()), seed):
+                if setting in (None, text):
+                    found.setdefault((name, text), []).append(ev.evaluate(est.fit(train).transform(held)))
+            train.unpersist()
+    d.unpersist()
     rows = []
-    for name, est, grid in specs:
-        if only and name != only:
-            continue
-        cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, foldCol="fold", seed=seed, parallelism=4)
-        m = cv.fit(d)
-        std = getattr(m, "stdMetrics", None) or [None] * len(grid)
-        for pm, avg, sd in zip(grid, m.avgMetrics, std):
-            params = ", ".join(f"{p.name}={v}" for p, v in pm.items())
-            rows.append((name, params, round(float(avg), 6), None if sd is None else round(float(sd), 6)))
+    for (name, text), a in found.items():
+        m = sum(a) / len(a)
+        sd = math.sqrt(sum((x - m) ** 2 for x in a) / (len(a) - 1)) if len(a) > 1 else None
+        rows.append((name, text, round(m, 6), None if sd is None else round(sd, 6)))
     return spark.createDataFrame(rows, "Model string, params string, auc_mean double, auc_sd double")
 
 
+def best_by_f1(models: dict) -> str:
+    """Name of the model with the largest F1 on the test rows."""
+    f1 = {name: EV.metrics_from_confusion(EV.confusion(m["predictions"], "delayed", "prediction")).first()["F1_Score"] or 0.0
+          for name, m in models.items()}
+    return max(f1, key=f1.get)
+
+
+def save_models(models: dict, path: str) -> dict[str, str]:
+    """Write every fitted model below ``path``; name -> place."""
+    out = {}
+    for name, m in models.items():
+        out[name] = f"{path}/{''.join(c if c.isalnum() else '_' for c in name)}"
+        m["model"].write().overwrite().save(out[name])
+    return out
+
+
 def smote_2d(df: DataFrame, x: str, y: str, label: str, k: int = 5, seed: int = 42, cell: float = 2.0) -> DataFrame:
-    """One synthetic minority sample per minority row: a seeded choice among
-    its k nearest minority neighbours (grid neighbour search), interpolated
-    with a seeded uniform weight."""
-    from pyspark.sql import Window
-    from .cluster import neighbour_pairs, points
-    counts = df.groupBy(label).count().orderBy("count").collect()
-    minority = counts[0][label]
-    mins = df.where(F.col(label) == minority)
-    p = points(mins, x, y)
-    pairs = neighbour_pairs(p, cell, 1).where((F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2")))
-    w = Window.partitionBy("x", "y").orderBy("d", "x2", "y2")
-    nn = pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    """One synthetic row per minority row with a place in the plane: a choice
+    among its k nearest other minority points (all of them if there are
+    fewer; the point itself if there is none), interpolated with a weight.
+    Choice and weight come from a hash of the key, so they are the same
+    whatever the partitioning."""
+    from .cluster import nearest_points, points
+    counts = df.groupBy(label).count().orderBy("count", label).limit(1).collect()
+    minority = counts[0][label] if counts else None
+    mins = df.where(F.col(label) == F.lit(minority))
+    near = nearest_points(points(mins, x, y), k, cell)
     rows = mins.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), "trip_id")
-    pick = (F.abs(F.xxhash64("trip_id", F.lit(seed))) % k + 1).cast("int")
-    cand = rows.withColumn("r", pick).join(nn.select("x", "y", "r", "x2", "y2"), ["x", "y", "r"])
-    u = F.rand(seed)
-    return cand.select("trip_id", (F.col("x") + u * (F.col("x2") - F.col("x"))).alias(x),
-                       (F.col("y") + u * (F.col("y2") - F.col("y"))).alias(y), F.lit(minority).alias(label))
+    pick = F.pmod(F.xxhash64("trip_id", F.lit(seed)), F.size("near")) + 1
+    u = F.pmod(F.xxhash64("trip_id", F.lit(seed + 1)), F.lit(1 << 40)) / float(1 << 40)
+    cand = rows.join(near, ["x", "y"]).withColumn("u", u).withColumn(
+        "to", F.when(F.size("near") > 0, F.element_at("near", F.when(F.size("near") > 0, pick).otherwise(1).cast("int"))))
+    return cand.select("trip_id", (F.col("x") + F.col("u") * (F.coalesce("to.x2", "x") - F.col("x"))).alias(x),
+                       (F.col("y") + F.col("u") * (F.coalesce("to.y2", "y") - F.col("y"))).alias(y), F.lit(minority).alias(label))

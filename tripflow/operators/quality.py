@@ -28,9 +28,11 @@ TRIP_COLUMNS = [
 MEDIAN_COLS = ["temperature_C", "humidity_percent", "wind_speed_kmh", "precipitation_mm",
                "event_attendance_est", "traffic_congestion_index",
                "actual_departure_delay_min", "actual_arrival_delay_min"]
-MODE_COLS = ["transport_type", "weather_condition", "event_type", "season", "route_id",
-             "origin_station", "destination_station", "holiday", "peak_hour", "delayed",
-             "weekday", "time", "scheduled_departure", "scheduled_arrival"]
+LABEL_MODE_COLS = ["transport_type", "weather_condition", "event_type", "season", "route_id",
+                   "origin_station", "destination_station", "holiday", "peak_hour", "delayed",
+                   "weekday"]
+TIME_MODE_COLS = ["time", "scheduled_departure", "scheduled_arrival"]
+MODE_COLS = LABEL_MODE_COLS + TIME_MODE_COLS
 OUTLIER_COLS = ["actual_departure_delay_min", "actual_arrival_delay_min", "temperature_C",
                 "humidity_percent", "wind_speed_kmh", "precipitation_mm",
                 "traffic_congestion_index", "event_attendance_est"]
@@ -73,8 +75,8 @@ def impute_mode(df: DataFrame, cols: list[str], order_cols=ORDER_COLS) -> tuple[
 def dedup_rows(df: DataFrame, cols: list[str], order_cols=("ingest_seq",)) -> DataFrame:
     """Full-row distinct over ``cols`` keeping the earliest file position.
 
-    A hash aggregate with map-side combine: a hot duplicate group collapses
-    on each executor before the shuffle.
+    A sorted aggregate with map-side combine: a hot duplicate group collapses
+    on each executor before the shuffle, at the price of sorting the rows.
     """
     extra = [c for c in order_cols if c not in cols]
     if not extra:
@@ -86,8 +88,9 @@ def dedup_rows(df: DataFrame, cols: list[str], order_cols=("ingest_seq",)) -> Da
 def dedup_key(df: DataFrame, key: str, order_cols=ORDER_COLS) -> DataFrame:
     """Keep the first row per key in ``order_cols`` order (slice(1) per group).
 
-    ``min_by`` in a hash aggregate instead of a row_number window: partial
-    aggregation shrinks a hot key to one row per executor before shuffling.
+    ``min_by`` instead of a row_number window: partial aggregation (sorted,
+    since the buffer is a struct) shrinks a hot key to one row per executor
+    before shuffling.
     """
     rest = [c for c in df.columns if c != key]
     g = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order_cols)).alias("__r"))
@@ -205,7 +208,9 @@ def _checkpoint(df: DataFrame, name: str) -> DataFrame:
 
 
 def clean(df: DataFrame, key: str = "trip_id", stage=_checkpoint) -> CleanResult:
-    """Phase-2 pipeline: keys → impute → dedup → winsorize → circular flag.
+    """Phase-2 pipeline: keys → impute → dates → impute times → dedup →
+    winsorize → circular flag.  Medians and the modes of labels, flags and
+    weekday are taken before rows without a date go, the modes of times after.
 
     The statistics (medians, modes, IQR bounds) need several passes over
     their input, so the two inputs they read are materialised once with
@@ -215,9 +220,11 @@ def clean(df: DataFrame, key: str = "trip_id", stage=_checkpoint) -> CleanResult
     """
     counts = {}
     raw = df
-    t1 = stage(drop_all_null(drop_missing_keys(df, (key,)), DELAY_COLS).dropna(subset=["date"]), "keys")
+    t1 = stage(drop_all_null(drop_missing_keys(df, (key,)), DELAY_COLS), "keys")
     t2, med = impute_median(t1, MEDIAN_COLS)
-    t3, modes = impute_mode(t2, [c for c in MODE_COLS if c in t2.columns])
+    t3, modes = impute_mode(t2, [c for c in LABEL_MODE_COLS if c in t2.columns])
+    t3, times = impute_mode(t3.dropna(subset=["date"]), [c for c in TIME_MODE_COLS if c in t3.columns])
+    modes = modes | times
     t4 = stage(dedup_key(dedup_rows(t3, [c for c in TRIP_COLUMNS if c in t3.columns]), key), "dedup")
     bounds = outlier_bounds(t4, OUTLIER_COLS)
     t5 = circular_flag(winsorize(t4, bounds))
@@ -231,6 +238,7 @@ def audit_log(raw: DataFrame, after_missing: DataFrame, after_dedup: DataFrame)
     m = after_missing.agg(F.count("*").alias("m"))
     d = after_dedup.agg(F.count("*").alias("d"))
     c = n.crossJoin(m).crossJoin(d)
+    # The steps and methods of the log.
     rows = [
         (1, "Raw data loaded", "n", "n", "—"),
         (2, "Missing values handled", "n", "m", "Median/Mode imputation + Drop"),

@@ -5,11 +5,25 @@ row_number, quantile_cont, scalar subqueries) so agreement means something.
 
 from __future__ import annotations
 
-from ..operators.features import SCALE_COLS
-from ..operators.quality import MEDIAN_COLS, MODE_COLS, OUTLIER_COLS, TRIP_COLUMNS
 from ..sources.fixtures import EVENT_MAP, SEASON_MAP, STORM_VALUES, TRANSPORT_MAP, WEATHER_MAP, trips_cte
 
 
+# Spelt out here, so that a wrong list in an operator can't pass on both sides.
+TRIP_COLUMNS = """trip_id date time transport_type route_id origin_station destination_station scheduled_departure
+scheduled_arrival actual_departure_delay_min actual_arrival_delay_min weather_condition temperature_C humidity_percent
+wind_speed_kmh precipitation_mm event_type event_attendance_est traffic_congestion_index holiday peak_hour weekday season
+delayed""".split()
+MEDIAN_COLS = """temperature_C humidity_percent wind_speed_kmh precipitation_mm event_attendance_est traffic_congestion_index
+actual_departure_delay_min actual_arrival_delay_min""".split()
+LABEL_COLS = """transport_type weather_condition event_type season route_id origin_station destination_station holiday
+peak_hour delayed weekday""".split()
+TIME_COLS = ["time", "scheduled_departure", "scheduled_arrival"]
+OUTLIER_COLS = MEDIAN_COLS
+SCALE_COLS = """actual_departure_delay_min actual_arrival_delay_min temperature_C humidity_percent wind_speed_kmh
+precipitation_mm event_attendance_est traffic_congestion_index total_delay delay_change trip_duration_scheduled
+weather_severity_index feels_like_impact event_impact_score congestion_weather_combo""".split()
+
+
 def _mode_sql(c: str, src: str) -> str:
     return (f"(SELECT v FROM (SELECT {c} AS v, count(*) OVER (PARTITION BY {c}) AS n, ingest_seq, "
             f"event_attendance_est FROM {src} WHERE {c} IS NOT NULL) "
@@ -26,8 +40,10 @@ def clean_ctes() -> str:
     for c in ["ingest_seq"] + TRIP_COLUMNS:
         if c in MEDIAN_COLS:
             sel.append(f"coalesce({c}, (SELECT {c} FROM c_med)) AS {c}")
-        elif c in MODE_COLS:
+        elif c in LABEL_COLS:
             sel.append(f"coalesce({c}, {_mode_sql(c, 'c1')}) AS {c}")
+        elif c in TIME_COLS:
+            sel.append(f"coalesce({c}, {_mode_sql(c, 'c1d')}) AS {c}")
         else:
             sel.append(c)
     q = ", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in OUTLIER_COLS)
@@ -41,10 +57,11 @@ def clean_ctes() -> str:
             sel4.append(c)
     return (
         trips_cte("duckdb") + ",\n"
-        "c1 AS (SELECT * FROM trips WHERE trip_id IS NOT NULL AND date IS NOT NULL AND NOT "
+        "c1 AS (SELECT * FROM trips WHERE trip_id IS NOT NULL AND NOT "
         "(actual_departure_delay_min IS NULL AND actual_arrival_delay_min IS NULL)),\n"
+        "c1d AS (SELECT * FROM c1 WHERE date IS NOT NULL),\n"
         f"c_med AS (SELECT {med} FROM c1),\n"
-        f"c2 AS (SELECT {', '.join(sel)} FROM c1),\n"
+        f"c2 AS (SELECT {', '.join(sel)} FROM c1d),\n"
         "c3 AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY trip_id "
         "ORDER BY ingest_seq, event_attendance_est) AS rn FROM c2) WHERE rn = 1),\n"
         f"c_q AS (SELECT {q} FROM c3),\n"

@@ -14,10 +14,15 @@ from .stages import cleaned, transformed
 
 ARR, DEP = A.ARR, A.DEP
 DAY_ORDER = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+# The columns of the correlation matrix, in its order.
 CORR_COLS = ["actual_departure_delay_min", "actual_arrival_delay_min", "temperature_C",
              "humidity_percent", "wind_speed_kmh", "precipitation_mm", "event_attendance_est",
-             "traffic_congestion_index", "total_delay", "delay_change", "trip_duration_scheduled",
-             "weather_severity_index", "hour", "delayed"]
+             "traffic_congestion_index", "weekday", "total_delay", "delay_change", "trip_duration_scheduled",
+             "weather_severity_index", "event_impact_score"]
+# The oracle's own list.
+CORR_SQL_COLS = """actual_departure_delay_min actual_arrival_delay_min temperature_C humidity_percent wind_speed_kmh
+precipitation_mm event_attendance_est traffic_congestion_index weekday total_delay delay_change trip_duration_scheduled
+weather_severity_index event_impact_score""".split()
 
 
 @register("agg_shape", with_trips(
@@ -213,12 +218,12 @@ def agg_distinct_stations(spark, sf):
 
 def _corr_sql(target: bool = False):
     aggs, parts = [], []
-    for i, a in enumerate(CORR_COLS):
-        for j, b in enumerate(CORR_COLS):
+    for i, a in enumerate(CORR_SQL_COLS):
+        for j, b in enumerate(CORR_SQL_COLS):
             if j > i:
                 aggs.append(f"corr({a}, {b}) AS c_{i}_{j}")
-    for i, a in enumerate(CORR_COLS):
-        for j, b in enumerate(CORR_COLS):
+    for i, a in enumerate(CORR_SQL_COLS):
+        for j, b in enumerate(CORR_SQL_COLS):
             if target and (b != "actual_arrival_delay_min" or a == b):
                 continue
             r = "1.0" if a == b else f"round(c_{min(i, j)}_{max(i, j)}, 6) + 0.0"
@@ -226,7 +231,7 @@ def _corr_sql(target: bool = False):
                 parts.append(f"SELECT '{a}' AS variable, CAST({r} AS DOUBLE) AS r FROM cr")
             else:
                 parts.append(f"SELECT '{a}' AS var1, '{b}' AS var2, CAST({r} AS DOUBLE) AS r FROM cr")
-    cond = " AND ".join(f"{c} IS NOT NULL" for c in CORR_COLS)
+    cond = " AND ".join(f"{c} IS NOT NULL" for c in CORR_SQL_COLS)
     return f", cr AS (SELECT {', '.join(aggs)} FROM transformed WHERE {cond}) " + " UNION ALL ".join(parts)
 
 

@@ -66,8 +66,8 @@ def ml_pca_scores(spark, sf):
 def kmeans_scores(spark, sf):
     def fit():
         p = _pca(spark, sf)
-        return M.kmeans_fit(p.scores, p.score_cols, k=3, seed=42)
-    return _memo(spark, sf, "km3", fit)
+        return M.kmeans_fit(p.scores, p.score_cols, k=cl_choose_k(spark, sf).first()["chosen_k"], seed=42)
+    return _memo(spark, sf, "kmeans", fit)
 
 
 @register("cl_elbow")
@@ -126,7 +126,7 @@ def ml_random_forest(spark, sf):
 
 @register("ml_svm_rbf")
 def ml_svm_rbf(spark, sf):
-    return _models(spark, sf)["SVM Radial"]["predictions"]
+    return _models(spark, sf)["SVM (Radial)"]["predictions"]
 
 
 @register("ml_cv5")
@@ -137,8 +137,12 @@ def ml_cv5(spark, sf):
 
 @register("ml_cv10")
 def ml_cv10(spark, sf):
-    """10-fold CV of the random forest over all rows."""
-    return _memo(spark, sf, "cv10", lambda: M.cross_validate(_ml_data(spark, sf), folds=10, only="Random Forest"))
+    """10-fold CV of the model that won on F1, with its best setting of the 5-fold CV."""
+    def fit():
+        best = M.best_by_f1(_models(spark, sf))
+        tuned = ml_cv5(spark, sf).where(F.col("Model") == best).orderBy(F.desc("auc_mean"), "params").first()
+        return M.cross_validate(_ml_data(spark, sf), folds=10, only=best, setting=tuned["params"])
+    return _memo(spark, sf, "cv10", fit)
 
 
 @register("ml_importance")

@@ -56,7 +56,7 @@ def flt_valid_range(spark, sf):
 
 
 @register("dq_impute_median", with_trips(
-    f", c1 AS (SELECT * FROM trips WHERE trip_id IS NOT NULL AND date IS NOT NULL AND NOT (actual_departure_delay_min IS NULL "
+    f", c1 AS (SELECT * FROM trips WHERE trip_id IS NOT NULL AND NOT (actual_departure_delay_min IS NULL "
     f"AND actual_arrival_delay_min IS NULL)) SELECT * FROM (SELECT {_MED_SQL} FROM c1) UNPIVOT (median FOR \"Column\" IN "
     f"({', '.join(Q.MEDIAN_COLS)}))"))
 def dq_impute_median(spark, sf):
@@ -66,13 +66,14 @@ def dq_impute_median(spark, sf):
 
 
 def _mode_union():
-    from .oracle_ctes import _mode_sql
-    return " UNION ALL ".join(f"SELECT '{c}' AS Column, CAST({_mode_sql(c, 'c1')} AS VARCHAR) AS mode" for c in Q.MODE_COLS)
+    from .oracle_ctes import LABEL_COLS, TIME_COLS, _mode_sql
+    return " UNION ALL ".join(f"SELECT '{c}' AS Column, CAST({_mode_sql(c, src)} AS VARCHAR) AS mode"
+                              for cols, src in ((LABEL_COLS, "c1"), (TIME_COLS, "c1d")) for c in cols)
 
 
 @register("dq_impute_mode", with_trips(
-    ", c1 AS (SELECT * FROM trips WHERE trip_id IS NOT NULL AND date IS NOT NULL AND NOT (actual_departure_delay_min IS NULL "
-    "AND actual_arrival_delay_min IS NULL)) " + _mode_union()))
+    ", c1 AS (SELECT * FROM trips WHERE trip_id IS NOT NULL AND NOT (actual_departure_delay_min IS NULL "
+    "AND actual_arrival_delay_min IS NULL)), c1d AS (SELECT * FROM c1 WHERE date IS NOT NULL) " + _mode_union()))
 def dq_impute_mode(spark, sf):
     res = clean_result(spark, sf)
     return spark.createDataFrame([(c, res.modes[c]) for c in Q.MODE_COLS], "Column string, mode string")

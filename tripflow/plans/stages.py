@@ -15,9 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import features, quality
 from ..session import ensure_checkpoint_dir
+from ..sources import fixtures
 from ..sources.fixtures import trips
 
 _MEMO: dict = {}
+# The stand-in view has value maps of its own.
+FIXTURE_MAPS = features.LabelMaps(fixtures.TRANSPORT_MAP, fixtures.WEATHER_MAP, fixtures.EVENT_MAP, fixtures.SEASON_MAP,
+                                  fixtures.STORM_VALUES)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -70,4 +74,4 @@ def transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, sf_dir, "transformed")
     if _exists(spark, path):
         return spark.read.parquet(path)
-    return materialize(spark, features.transform(cleaned(spark, sf_dir)), path)
+    return materialize(spark, features.transform(cleaned(spark, sf_dir), FIXTURE_MAPS), path)

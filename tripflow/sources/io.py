@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,14 +45,16 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 # Manifest categories by path prefix, first match wins.
-MANIFEST_RULES = [(r"(^|/)plots/", "Plot"), (r"(^|/)reports/", "Report"), (r"(^|/)models/", "Model"),
-                  (r"(^|/)cleaned/", "Data"), (r"(^|/)(cleaned|transformed)", "Data")]
+MANIFEST_RULES = [(r"^cleaned/", "Cleaned Data"), (r"^plots/", "Plots"), (r"^models/", "Models"),
+                  (r"^reports/", "Reports")]
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """Category, File for every file under ``root`` (paths only: the binary
     file source is asked for ``path`` alone, so no file content is read)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-             .select("path", "length"))
-    rel = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").split("://")[-1] + "/", "")
-    return files.select(regex_category(rel, MANIFEST_RULES, "Other").alias("Category"), rel.alias("File"), "length")
+             .select("path"))
+    top = re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/"
+    rel = F.expr("substring(path, locate(top, path) + length(top))")
+    return (files.withColumn("top", F.lit(top)).select(rel.alias("File"))
+            .select(regex_category("File", MANIFEST_RULES, "Other").alias("Category"), "File"))
