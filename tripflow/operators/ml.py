@@ -18,7 +18,7 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomFores
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,14 +188,18 @@ def classification_frame(df: DataFrame) -> DataFrame:
 
 
 def _rff(cols: list[str], d: int = 40, gamma: float = 0.05, seed: int = 42):
-    """Random Fourier features for an RBF kernel as column expressions."""
+    """Random Fourier features for an RBF kernel as one vector column."""
     import numpy as np
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * gamma), size=(d, len(cols)))
     b = rng.uniform(0, 2 * math.pi, size=d)
     scale = math.sqrt(2.0 / d)
-    return [(F.cos(sum((F.col(c) * float(w[j, i]) for i, c in enumerate(cols)), F.lit(float(b[j])))) * scale).alias(f"rff{j}")
-            for j in range(d)]
+    # one vector expression over a constant table: 40 separate columns pass the size limit of generated code
+    table = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in w[j]]).alias("w"), F.lit(float(b[j])).alias("b"))
+                      for j in range(d)])
+    x = F.array(*cols)
+    return array_to_vector(F.transform(table, lambda r: F.cos(F.aggregate(
+        F.zip_with(r["w"], x, lambda p, q: p * q), r["b"], lambda acc, v: acc + v)) * scale))
 
 
 def _scaling(train: DataFrame, cols: list[str]) -> DataFrame:
@@ -242,10 +246,9 @@ def fit_classifiers(data: DataFrame, seed: int = 42) -> dict:
     tr = _scaled_features(train, CLASS_FEATURES, params)
     te = _scaled_features(test, CLASS_FEATURES, params)
     rff = _rff(CLASS_FEATURES)
-    tr_f = tr.select("trip_id", "label", *rff)
-    te_f = te.select("trip_id", "label", *rff)
-    va2 = VectorAssembler(inputCols=[f"rff{j}" for j in range(len(rff))], outputCol="features")
-    svm = Pipeline(stages=[va2, LinearSVC(featuresCol="features", labelCol="label", regParam=0.01, maxIter=50)]).fit(tr_f)
+    tr_f = tr.select("trip_id", "label", rff.alias("features")).cache()
+    te_f = te.select("trip_id", "label", rff.alias("features"))
+    svm = Pipeline(stages=[LinearSVC(featuresCol="features", labelCol="label", regParam=0.01, maxIter=50)]).fit(tr_f)
     margin = vector_to_array("rawPrediction")[1]
     platt_in = svm.transform(tr_f).select("label", margin.alias("m"))
     platt = Pipeline(stages=[VectorAssembler(inputCols=["m"], outputCol="mf"),
@@ -254,6 +257,7 @@ def fit_classifiers(data: DataFrame, seed: int = 42) -> dict:
     out["SVM (Radial)"] = {"model": svm, "predictions": platt.transform(sv).select(
         "trip_id", F.col("label").cast("int").alias("delayed"), F.col("pred").cast("int").alias("prediction"),
         r_round(vector_to_array("probability")[1], 6).alias("prob_yes"))}
+    tr_f.unpersist()
     train.unpersist()
     return out
 
@@ -303,8 +307,6 @@ def cross_validate(data: DataFrame, folds: int, only: str | None = None, setting
     ev = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
     rff = _rff(CLASS_FEATURES)
     va = VectorAssembler(inputCols=CLASS_FEATURES, outputCol="features")
-    names = [f"rff{j}" for j in range(len(rff))]
-    va_rff = VectorAssembler(inputCols=names, outputCol="rff")
     found: dict[tuple[str, str], list[float]] = {}
     for f in range(folds):
         part = d.where(F.col("fold") != f)
@@ -318,17 +320,17 @@ def cross_validate(data: DataFrame, folds: int, only: str | None = None, setting
         def prepared(rows, wanted):
             rows = rows.withColumn("weight", w)
             if wanted == "SVM (Radial)":
-                return va_rff.transform(_scaled_features(rows, CLASS_FEATURES, params).select("label", "weight", *rff)).select(
-                    "label", "weight", "rff")
+                return _scaled_features(rows, CLASS_FEATURES, params).select("label", "weight", rff.alias("rff"))
             return va.transform(rows).select("label", "weight", "features")
         for name in MODELS:
             if only and name != only:
                 continue
-            train, held = prepared(part, name).cache(), prepared(d.where(F.col("fold") == f), name)
+            train, held = prepared(part, name).cache(), prepared(d.where(F.col("fold") == f), name).cache()
             for text, est in _grid(name, sum(counts.values()), seed):
                 if setting in (None, text):
                     found.setdefault((name, text), []).append(ev.evaluate(est.fit(train).transform(held)))
             train.unpersist()
+            held.unpersist()
     d.unpersist()
     rows = []
     for (name, text), a in found.items():
