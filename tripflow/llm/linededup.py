@@ -26,6 +26,7 @@ from tripflow.llm.common import as_docs, batches_to, with_keys
 
 MIN_CHARS = 20      # shorter lines are copies only if they are equal
 LOWEST = -(1 << 63)
+HOT_SHARE, SALTS = 1000, 64   # a line with more than a thousandth of all rows is dealt out in so many parts
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WORDS = 1 << 19     # 64-bit words of the bitmap that lets most lines pass without a join (4 MB, whatever the input)
 
@@ -214,9 +215,17 @@ def dropped_lines(keyed: DataFrame, min_chars: int) -> DataFrame:
     """(k1, k2, lines): the numbers of the lines of each row that repeat an earlier line."""
     lines = all_lines(keyed)
     # Where each distinct line stands first; equal lines collapse on the map side.
-    first = lines.groupBy("h").agg(F.min(F.struct("k1", "line_no", "k2")).alias("at"))
-    gone = near_earlier(candidates(keyed, min_chars).join(first, "h")).withColumn("gone", F.lit(True))
-    repeated = (lines.join(first.join(gone, "h", "left"), "h")
+    first = lines.groupBy("h").agg(F.min(F.struct("k1", "line_no", "k2")).alias("at"), F.count("*").alias("n")).checkpoint()
+    gone = (near_earlier(candidates(keyed, min_chars).join(first.select("h", "at"), "h"))
+            .withColumn("gone", F.lit(True)))
+    # At most HOT_SHARE lines have more rows than this; each of them meets its first place in SALTS parts.
+    most = (first.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot = F.broadcast(first.where(F.col("n") > most).select("h", F.lit(True).alias("hot")))
+    salts = F.when(F.col("n") > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    settled = (first.join(gone, "h", "left").where((F.col("n") > 1) | F.col("gone"))
+               .select("h", "at", "gone", F.explode(salts).alias("salt")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k1", "k2", "line_no"), F.lit(SALTS))).otherwise(0).cast("int")
+    repeated = (lines.join(hot, "h", "left").withColumn("salt", salt).drop("hot").join(settled, ["h", "salt"])
                 .where(F.col("gone").isNotNull() | ~(F.struct("k1", "line_no", "k2") == F.col("at"))))
     return repeated.groupBy("k1", "k2").agg(F.collect_set("line_no").alias("lines"))
 
