@@ -347,3 +347,13 @@ def test_licence_oracle(spark, duck):
     got = E.queries()["op4_licence_scan"](spark, "/root/testdata/sf0.001")
     cols = ["doc_id", "digest", "licence", "n_notice_lines", "notices"]
     assert tuples(got, *cols) == sorted(duck.sql(f"SELECT {', '.join(cols)} FROM ({E.oracle_sql()['op4_licence_scan']})").fetchall(), key=str)
+
+
+def test_a_repeated_id_teaches_once(spark):
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    docs = frame(spark, [(k, f"text {k}") for k in ids] + [(ids[0], f"a copy {k}") for k in range(500)] + [(ids[1], None)] * 50)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] * 2, "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.labelled_sample(docs, labels, "toxic").collect()}
+    assert sorted(got) == ids and got[ids[0]]["text"] == "a copy 0" and got[ids[1]]["text"] == f"text {ids[1]}"
+    assert toxicity.labelled_sample(docs, labels, "toxic").count() == len(ids)
+    assert toxicity.labelled_sample(docs, labels, "toxic", most=20).count() == 20

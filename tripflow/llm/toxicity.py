@@ -223,7 +223,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
 
     Training rows are those whose crc32(doc_id as text) mod 5 isn't 0; rows without a label are left out.  Half of
     the bound is for each label, so that a rare label isn't thinned out.  The chosen ids are bounded by ``most``
-    and so broadcast: the texts of all other rows go no further than the scan.
+    and so broadcast: the texts of all other rows go no further than the scan.  Of the rows of a repeated id the
+    least text teaches, so that an id with any number of rows counts once.
     """
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (crc_mod(F.col("doc_id")) != 0))
@@ -233,7 +234,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
     # A little more than the share wanted passes the first filter, so that few rows reach the exact cut.
     chosen = [known.where((F.col("label") == k) & (u <= 1.2 * most / 2 / max(1, counts.get(k, 0)) + 1e-4))
               .orderBy(u, "doc_id").limit(most // 2) for k in (0, 1)]
-    return docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "text", "label")
+    return (docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", "label")
+            .agg(F.min("text").alias("text")).select("doc_id", "text", "label"))
 
 
 @dataclass
