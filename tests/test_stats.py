@@ -30,6 +30,26 @@ def test_running_totals_match_cumsum(spark, xs):
     assert list(got["rn"]) == list(range(1, len(xs) + 1))
 
 
+def test_grouped_quantiles_match_numpy(spark):
+    from tripflow.functions.stats import grouped_quantile
+    from tripflow.operators.aggregate import boxplot
+    rng = np.random.default_rng(3)
+    groups = {"hot": rng.normal(size=900), "few": np.array([1.0, 2.0, 4.0]), "one": np.array([7.0]), "same": np.full(50, -2.5),
+              None: rng.integers(0, 9, 41).astype(float)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("few", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: r["q"] for r in grouped_quantile(df, ["g"], "v", 0.3, "q").collect()}
+    assert got.keys() == groups.keys()
+    assert all(abs(got[g] - np.quantile(v, 0.3)) < 1e-12 for g, v in groups.items())
+    box = {r["g"]: r for r in boxplot(df, "g", "v").collect()}
+    assert box.keys() == {"hot", "few", "one", "same"}
+    for g, r in box.items():
+        q1, q2, q3 = np.quantile(groups[g], [0.25, 0.5, 0.75])
+        out = int(((groups[g] < q1 - 1.5 * (q3 - q1)) | (groups[g] > q3 + 1.5 * (q3 - q1))).sum())
+        assert (r["n"], r["n_outliers"]) == (len(groups[g]), out)
+        assert abs(r["median"] - q2) < 1e-4 and abs(r["q1"] - q1) < 1e-4 and abs(r["max"] - groups[g].max()) < 1e-4
+
+
 def test_first_seen_mode(spark):
     from tripflow.functions.stats import first_seen_mode
     rows = [(1, 0.0, "b"), (2, 0.0, "a"), (3, 0.0, "a"), (4, 0.0, "b"), (5, 0.0, None), (6, 0.0, "c")]

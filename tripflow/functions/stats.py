@@ -155,28 +155,41 @@ def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
 
 
-def grouped_quantile(df: DataFrame, keys: list[str], col: str, p: float, alias: str) -> DataFrame:
-    """Exact type-7 quantile of ``col`` per group: (keys..., alias).
-
-    Duplicated values collapse first (map-side combine), then one sort per
-    group computes running counts; no group is ever held as a hash map.
-    """
+def grouped_values(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """(keys..., __v, __c, __cum, __n): the distinct values of ``col`` in each
+    group, their counts, the running counts and the group's size.
+
+    Duplicated values collapse first (map-side combine); the running counts
+    come from range-partitioned buckets with offsets, so that a group of any
+    size is spread over the tasks (``running_totals``)."""
+    from ..operators.windows import running_totals
     vc = (df.where(F.col(col).isNotNull())
           .groupBy(*keys, F.col(col).cast("double").alias("__v")).agg(F.count("*").alias("__c")))
-    w = Window.partitionBy(*keys).orderBy("__v")
-    vc = (vc.withColumn("__cum", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-          .withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys))))
-    h = (F.col("__n") - 1) * F.lit(p)
-    lo_r, hi_r = F.floor(h), F.ceil(h)
-    start = F.col("__cum") - F.col("__c")
-    picked = vc.select(
-        *keys,
-        F.when((lo_r >= start) & (lo_r < F.col("__cum")), F.col("__v")).alias("__lo"),
-        F.when((hi_r >= start) & (hi_r < F.col("__cum")), F.col("__v")).alias("__hi"),
-        (h - lo_r).alias("__f"))
-    g = picked.groupBy(*keys).agg(F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi"),
-                                  F.max("__f").alias("__f"))
-    return g.select(*keys, (F.col("__lo") + F.col("__f") * (F.col("__hi") - F.col("__lo"))).alias(alias))
+    plain = [f"k{i}" for i in range(len(keys))]
+    # a null key is a group too: it is joined with its size by <=>
+    vc = vc.select(*[F.col(k).alias(a) for k, a in zip(keys, plain)], F.col("__v").alias("v"), F.col("__c").alias("c"))
+    cum = running_totals(vc.withColumn("k", F.struct(*plain)).drop(*plain), ["v"], ["c"], partition=["k"])
+    sizes = cum.groupBy(F.col("k").alias("own")).agg(F.sum("c").alias("n"))
+    return cum.join(sizes, cum.k.eqNullSafe(F.col("own"))).select(
+        *[F.col(f"k.{a}").alias(k) for k, a in zip(keys, plain)], F.col("v").alias("__v"), F.col("c").alias("__c"),
+        F.col("cum_c").alias("__cum"), F.col("n").alias("__n"))
+
+
+def quantiles_of_values(vc: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Exact type-7 quantiles {alias: p} of each group of ``grouped_values``: one aggregate for all."""
+    start, aggs, out = F.col("__cum") - F.col("__c"), [], []
+    for i, (alias, p) in enumerate(quantiles.items()):
+        h = (F.col("__n") - 1) * F.lit(p)
+        for side, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            aggs.append(F.max(F.when((r >= start) & (r < F.col("__cum")), F.col("__v"))).alias(f"__{side}{i}"))
+        aggs.append(F.max(h - F.floor(h)).alias(f"__f{i}"))
+        out.append((F.col(f"__lo{i}") + F.col(f"__f{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(alias))
+    return vc.groupBy(*keys).agg(*aggs).select(*keys, *out)
+
+
+def grouped_quantile(df: DataFrame, keys: list[str], col: str, p: float, alias: str) -> DataFrame:
+    """Exact type-7 quantile of ``col`` per group: (keys..., alias)."""
+    return quantiles_of_values(grouped_values(df, keys, col), keys, {alias: p})
 
 
 def first_seen_mode(df: DataFrame, cols: list[str], order_cols: list[str]) -> dict[str, str | None]:

@@ -72,21 +72,19 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 def boxplot(df: DataFrame, key: str, col: str) -> DataFrame:
     """Per group: min, q1, median, q3, max (type 7, exact) and the count of
-    points beyond 1.5 IQR.  Quantiles come from pre-aggregated value counts
-    and one sorted pass per group (``grouped_quantile``)."""
-    from ..functions.stats import grouped_quantile
-    qs = None
-    for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")):
-        g = grouped_quantile(df, [key], col, p, name)
-        qs = g if qs is None else qs.join(g, key)
-    mm = df.groupBy(key).agg(F.min(col).alias("min"), F.max(col).alias("max"), F.count(col).alias("n"))
-    qs = qs.join(mm, key)
+    points beyond 1.5 IQR, all from one table of (group, value, count): the
+    rows themselves are read once.  A null key is left out."""
+    from ..functions.stats import grouped_values, quantiles_of_values
+    vc = grouped_values(df.where(F.col(key).isNotNull()), [key], col)
+    qs = quantiles_of_values(vc, [key], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
-    out = df.select(key, col).join(qs.select(key, "q1", "q3"), key).groupBy(key).agg(
-        F.count_if((F.col(col) < F.col("q1") - 1.5 * iqr) | (F.col(col) > F.col("q3") + 1.5 * iqr)).alias("n_outliers"))
-    return qs.join(out, key).select(key, "n", r_round(F.col("min"), 4).alias("min"), r_round(F.col("q1"), 4).alias("q1"),
-                                    r_round(F.col("median"), 4).alias("median"), r_round(F.col("q3"), 4).alias("q3"),
-                                    r_round(F.col("max"), 4).alias("max"), "n_outliers")
+    beyond = (F.col("__v") < F.col("q1") - 1.5 * iqr) | (F.col("__v") > F.col("q3") + 1.5 * iqr)
+    # the min and max are the group's own values: their type is kept
+    own = dict(df.dtypes)[col]
+    out = vc.join(qs, key).groupBy(key, "q1", "median", "q3").agg(
+        F.sum("__c").alias("n"), F.min("__v").cast(own).alias("min"), F.max("__v").cast(own).alias("max"),
+        F.coalesce(F.sum(F.when(beyond, F.col("__c"))), F.lit(0)).alias("n_outliers"))
+    return out.select(key, "n", *[r_round(F.col(c), 4).alias(c) for c in ("min", "q1", "median", "q3", "max")], "n_outliers")
 
 
 def linear_fit(df: DataFrame, y: str, x: str) -> DataFrame:

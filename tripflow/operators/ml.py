@@ -41,6 +41,7 @@ CLASS_FEATURES = ["temperature_C", "humidity_percent", "wind_speed_kmh", "precip
 RF_TREES = 100
 KMEANS_STARTS = 25
 SVM_COSTS = (0.25, 0.5, 1.0, 2.0, 4.0)
+SVM_TOL = 1e-3   # change of the loss at which an SVM's fit ends
 
 
 def standardize(df: DataFrame, cols: list[str], key: str) -> DataFrame:
@@ -248,7 +249,7 @@ def fit_classifiers(data: DataFrame, seed: int = 42) -> dict:
     rff = _rff(CLASS_FEATURES)
     tr_f = tr.select("trip_id", "label", rff.alias("features")).cache()
     te_f = te.select("trip_id", "label", rff.alias("features"))
-    svm = Pipeline(stages=[LinearSVC(featuresCol="features", labelCol="label", regParam=0.01, maxIter=50)]).fit(tr_f)
+    svm = Pipeline(stages=[LinearSVC(featuresCol="features", labelCol="label", regParam=0.01, maxIter=50, tol=SVM_TOL)]).fit(tr_f)
     margin = vector_to_array("rawPrediction")[1]
     platt_in = svm.transform(tr_f).select("label", margin.alias("m"))
     platt = Pipeline(stages=[VectorAssembler(inputCols=["m"], outputCol="mf"),
@@ -288,7 +289,7 @@ def _grid(name: str, n: int, seed: int) -> list[tuple[str, object]]:
         return [(f"featureSubsetStrategy={s}", RandomForestClassifier(numTrees=RF_TREES, maxDepth=6, featureSubsetStrategy=s,
                                                                       seed=seed, **common)) for s in ("2", "sqrt", "onethird")]
     # cost C and the penalty of the mean loss are each other's inverse, up to the number of rows
-    return [(f"C={c}", LinearSVC(regParam=1.0 / (c * n), maxIter=50, **(common | {"featuresCol": "rff"}))) for c in SVM_COSTS]
+    return [(f"C={c}", LinearSVC(regParam=1.0 / (c * n), maxIter=50, tol=SVM_TOL, **(common | {"featuresCol": "rff"}))) for c in SVM_COSTS]
 
 
 MODELS = ("Logistic Regression", "Random Forest", "SVM (Radial)")
