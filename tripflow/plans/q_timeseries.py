@@ -8,7 +8,7 @@ from ..functions.stats import r_round
 from ..operators import timeseries as TS
 from .oracle_ctes import with_xform
 from .registry import register
-from .stages import transformed
+from .stages import materialize, stage_path, transformed
 
 _SERIES = (
     ", h AS (SELECT date, hour, avg(actual_arrival_delay_min) AS avg_delay, count(*) AS trip_count, "
@@ -40,8 +40,10 @@ def _series(spark, sf):
 
 
 def _filled(spark, sf):
+    """The completed and filled series as a stage table: what follows plans over one small scan."""
     f = TS.locf(_series(spark, sf), "avg_delay", out="avg_locf")
-    return TS.fill_mean(f.withColumn("avg_filled", F.col("avg_locf")), "avg_filled")
+    return materialize(spark, TS.fill_mean(f.withColumn("avg_filled", F.col("avg_locf")), "avg_filled"),
+                       stage_path(spark, sf, "series"))
 
 
 def _scaled(spark, sf):
@@ -87,7 +89,7 @@ def jn_calendar_right(spark, sf):
 
 @register("ts_locf", with_xform(_SERIES + "SELECT date, hour, round(avg_locf, 6) + 0.0 AS avg_delay FROM locf"))
 def ts_locf(spark, sf):
-    f = TS.locf(_series(spark, sf), "avg_delay", out="avg_locf")
+    f = _filled(spark, sf)
     return f.select("date", "hour", r_round(F.col("avg_locf"), 6).alias("avg_delay"))
 
 
