@@ -60,6 +60,23 @@ def test_kmeans_sizes_sum(spark):
     assert sizes == q(spark, "ml_pca_scores").count()
 
 
+def test_fitted_clusters_through_to_hubs(spark):
+    sizes = {r["cluster"]: r["n"] for r in q(spark, "cl_kmeans").collect()}
+    prof = {r["cluster"]: r for r in q(spark, "cl_fitted_profile").collect()}
+    assert {c: r["n_observations"] for c, r in prof.items()} == sizes
+    by_delay = sorted(prof, key=lambda c: (prof[c]["avg_actual_arrival_delay_min"], c))
+    labels = {r["cluster"]: r["label"] for r in q(spark, "cl_fitted_label").collect()}
+    assert labels[by_delay[0]] == "On-Time / Stable" and labels[by_delay[-1]] == "Bottleneck-Prone / High-Delay"
+    assert all(labels[c] == "Moderate / Delay-Sensitive" for c in by_delay[1:-1])
+    flags = q(spark, "cl_fitted_bottleneck_flag").groupBy("cluster", "is_bottleneck").count().collect()
+    assert {(r["cluster"], r["is_bottleneck"], r["count"]) for r in flags} == {
+        (c, int(c == by_delay[-1]), n) for c, n in sizes.items()}
+    hubs = q(spark, "gr_fitted_hub_cluster").collect()
+    assert {r["Station"] for r in hubs} == {r["Station"] for r in q(spark, "topk_hubs").collect()}
+    starts = {r["origin_station"] for r in q(spark, "agg_station").collect()}
+    assert all(r["dominant_cluster"] in (labels.values() if r["Station"] in starts else (None,)) for r in hubs)
+
+
 def test_stratified_split_sizes(spark):
     import math
     s = q(spark, "ml_stratified_split")
