@@ -10,8 +10,10 @@ from tripflow.operators import aggregate as A
 from tripflow.operators import cluster as CL
 from tripflow.operators import evaluation as EV
 from tripflow.operators import features as FE
+from tripflow.operators import graph as G
 from tripflow.operators import ml as M
 from tripflow.operators import quality as Q
+from tripflow.operators import windows as W
 
 
 def test_quantiles_over_many_decades(spark):
@@ -86,3 +88,67 @@ def test_medians_are_taken_before_dates_are_dropped(spark):
     df = spark.createDataFrame([tuple(r[c] for c in ["date", *cols, *Q.MEDIAN_COLS, "ingest_seq"]) for r in rows], schema)
     result = Q.clean(df)
     assert result.medians["temperature_C"] == 7.0 and result.df.count() == 2
+
+
+# Two equal ways from a to d, a way back, a vertex without ways out (e) and a pair apart from the rest.
+EDGES = [("a", "b", 1.0), ("a", "c", 1.0), ("b", "d", 1.0), ("c", "d", 1.0), ("d", "a", 5.0), ("d", "e", 0.5), ("x", "y", 2.0)]
+
+
+def graph(spark, edges=EDGES):
+    return spark.createDataFrame(edges, "s string, t string, w double")
+
+
+def inner_shares():
+    """Betweenness from a list of all simple paths of EDGES."""
+    def simple(path, length):
+        yield path, length
+        for s, t, w in EDGES:
+            if s == path[-1] and t not in path:
+                yield from simple([*path, t], length + w)
+    nodes = {n for s, t, _ in EDGES for n in (s, t)}
+    shares = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        found = list(simple([s], 0.0))
+        for t in nodes - {s}:
+            ways = [(length, p) for p, length in found if p[-1] == t]
+            shortest = [p for length, p in ways if length == min(ways)[0]]
+            for p in shortest:
+                for n in p[1:-1]:
+                    shares[n] += 1 / len(shortest)
+    return shares
+
+
+def test_pagerank_with_dangling_vertices(spark):
+    nodes = sorted({n for s, t, _ in EDGES for n in (s, t)})
+    out = {n: sum(w for s, _, w in EDGES if s == n) for n in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(300):
+        lost = sum(rank[n] for n in nodes if not out[n])
+        rank = {n: (0.15 + 0.85 * lost) / len(nodes) + 0.85 * sum(rank[s] * w / out[s] for s, t, w in EDGES if t == n) for n in nodes}
+    got = {r["node"]: r["pagerank"] for r in G.pagerank(graph(spark), "s", "t", "w").collect()}
+    assert got == {n: pytest.approx(v, abs=1e-8) for n, v in rank.items()}
+    with pytest.raises(RuntimeError):
+        G.pagerank(graph(spark), "s", "t", "w", max_iter=10)
+
+
+@pytest.mark.parametrize("block_rows", [28, 10 ** 6])
+def test_paths_closeness_and_betweenness(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(G, "BLOCK_ROWS", block_rows)   # blocks of four sources, and one block
+    e = graph(spark)
+    paths = {(r["s"], r["t"]): r["d"] for r in G.shortest_paths(e, "s", "t", "w").collect()}
+    assert paths["a", "d"] == 2.0 and paths["b", "e"] == 1.5 and paths["d", "c"] == 6.0 and ("e", "a") not in paths
+    close = {r["node"]: r["closeness"] for r in G.closeness(e, "s", "t", "w").collect()}
+    assert close["x"] == close["y"] == 0.5 and close["d"] == pytest.approx(4 / (1 + 1 + 2 + 0.5))
+    between = {r["node"]: r["betweenness"] for r in G.betweenness(e, "s", "t", "w", normalized=False).collect()}
+    assert between == {n: pytest.approx(v) for n, v in inner_shares().items()}
+    assert G.betweenness(graph(spark, []), "s", "t", "w").count() == 0
+    with pytest.raises(ValueError):
+        G.betweenness(graph(spark, [("a", "b", 0.0)]), "s", "t", "w")
+
+
+def test_first_rows_and_ties(spark):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([5, 5, 4, 3, 3, None])], "k int, v int")
+    assert [r["k"] for r in W.first_rows(df, [F.desc("v"), F.asc("k")], 3).collect()] == [0, 1, 2]
+    tied = {r["k"]: r["rank"] for r in W.top_n_with_ties(df, "v", 4).collect()}
+    assert tied == {0: 1, 1: 1, 2: 3, 3: 4, 4: 4}
+    assert W.top_n_with_ties(df, "v", 9).count() == 5

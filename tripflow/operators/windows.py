@@ -19,10 +19,19 @@ def rank_rows(df: DataFrame, order: list[Column], name: str = "rank") -> DataFra
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("int"))
 
 
+def first_rows(df: DataFrame, order: list[Column], n: int, name: str = "rank") -> DataFrame:
+    """The first ``n`` rows of a total order with their rank: every task keeps
+    n rows, and only those are ranked."""
+    return rank_rows(df.orderBy(*order).limit(n), order, name)
+
+
 def top_n_with_ties(df: DataFrame, by: str, n: int, name: str = "rank") -> DataFrame:
-    """dplyr ``top_n``: min_rank(desc(by)) <= n, ties kept."""
-    return (df.withColumn(name, F.rank().over(Window.orderBy(F.desc(by))).cast("int"))
-            .where(F.col(name) <= n))
+    """dplyr ``top_n``: min_rank(desc(by)) <= n, ties kept, no NULLs.  The n-th
+    value is found first; only the rows that reach it are ranked."""
+    known = df.where(F.col(by).isNotNull())
+    least = known.select(by).orderBy(F.desc(by)).limit(n).agg(F.min(by).alias("__least"))
+    reach = known.crossJoin(F.broadcast(least)).where(F.col(by) >= F.col("__least")).drop("__least")
+    return reach.withColumn(name, F.rank().over(Window.orderBy(F.desc(by))).cast("int"))
 
 
 def top1_with_ties(df: DataFrame, keys: list[str], by: str) -> DataFrame:

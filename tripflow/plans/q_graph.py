@@ -74,16 +74,42 @@ def gr_pagerank(spark, sf):
     return pr.select("node", r_round(F.col("pagerank"), 6).alias("pagerank"))
 
 
-def _sp_sql(undirected: bool, hops: int = 8) -> str:
+def _sp_sql(undirected: bool, hops: int = 8, name: str = "dist") -> str:
     base = "SELECT origin_station AS a, destination_station AS b, weight AS w FROM ew"
     if undirected:
         base += " UNION ALL SELECT destination_station, origin_station, weight FROM ew"
-    parts = [f", wmin AS (SELECT a, b, min(w) AS w FROM ({base}) GROUP BY a, b), "
-             "w0 AS (SELECT a, b, w FROM wmin WHERE a <> b UNION ALL SELECT node, node, 0.0 FROM vx), "
-             "d1 AS (SELECT a AS s, b AS t, w AS d FROM wmin WHERE a <> b)"]
+    w, w0, d = f"{name}_w", f"{name}_w0", f"{name}_d"
+    parts = [f", {w} AS (SELECT a, b, min(w) AS w FROM ({base}) GROUP BY a, b), "
+             f"{w0} AS (SELECT a, b, w FROM {w} WHERE a <> b UNION ALL SELECT node, node, 0.0 FROM vx), "
+             f"{d}1 AS (SELECT a AS s, b AS t, w AS d FROM {w} WHERE a <> b)"]
     for k in range(2, hops + 1):
-        parts.append(f"d{k} AS (SELECT s, b AS t, min(d + w) AS d FROM d{k - 1} JOIN w0 ON t = a WHERE s <> b GROUP BY s, b)")
-    return ", ".join(parts) + f", dist AS (SELECT * FROM d{hops}) "
+        parts.append(f"{d}{k} AS (SELECT s, b AS t, min(d + w) AS d FROM {d}{k - 1} JOIN {w0} ON t = a WHERE s <> b GROUP BY s, b)")
+    return ", ".join(parts) + f", {name} AS (SELECT * FROM {d}{hops}) "
+
+
+def _bt_sql(hops: int = 8) -> str:
+    """Betweenness ``bt`` from the directed distances ``ddist``: path counts forwards, dependencies back, arc by arc."""
+    parts = [", dz AS MATERIALIZED (SELECT s, t, d FROM ddist UNION ALL SELECT node, node, 0.0 FROM vx)",
+             "tight AS MATERIALIZED (SELECT x.s, x.t AS u, w.b AS v FROM dz x JOIN ddist_w w ON x.t = w.a JOIN dz y ON y.s = x.s AND y.t = w.b "
+             "WHERE w.a <> w.b AND abs(x.d + w.w - y.d) < 1e-7)",
+             "pn0 AS (SELECT node AS s, node AS v, CAST(1 AS DOUBLE) AS n FROM vx)"]
+    for k in range(1, hops + 1):
+        parts.append(f"pn{k} AS MATERIALIZED (SELECT g.s, g.v, sum(p.n) AS n FROM pn{k - 1} p JOIN tight g ON p.s = g.s AND p.v = g.u GROUP BY g.s, g.v)")
+    parts += ["pn AS MATERIALIZED (SELECT s, v, sum(n) AS n FROM (" + " UNION ALL ".join(f"SELECT * FROM pn{k}" for k in range(hops + 1))
+              + ") GROUP BY s, v)",
+              "share AS MATERIALIZED (SELECT g.s, g.u, g.v, x.n / y.n AS q FROM tight g JOIN pn x ON x.s = g.s AND x.v = g.u "
+              "JOIN pn y ON y.s = g.s AND y.v = g.v)",
+              "pc0 AS (SELECT s, v, CAST(1 AS DOUBLE) AS c FROM pn)"]
+    for k in range(1, hops + 1):
+        parts.append(f"pc{k} AS MATERIALIZED (SELECT h.s, h.u AS v, sum(h.q * p.c) AS c FROM share h JOIN pc{k - 1} p ON p.s = h.s AND p.v = h.v GROUP BY h.s, h.u)")
+    parts.append("bt AS (SELECT vx.node, coalesce(b.c, 0.0) / (SELECT CASE WHEN count(*) > 2 THEN (count(*) - 1) * (count(*) - 2) ELSE 1 END "
+                 "FROM vx) AS betweenness FROM vx LEFT JOIN (SELECT v, sum(c) AS c FROM ("
+                 + " UNION ALL ".join(f"SELECT * FROM pc{k}" for k in range(1, hops + 1)) + ") WHERE v <> s GROUP BY v) b ON b.v = vx.node)")
+    return ", ".join(parts) + " "
+
+
+_CLOSE = (", cls AS (SELECT vx.node, c.closeness FROM vx LEFT JOIN (SELECT s AS node, count(*) / sum(d) AS closeness FROM udist GROUP BY s) c "
+          "USING (node)) ")
 
 
 @register("gr_shortest_paths", with_xform(_EDGES + _sp_sql(False) + "SELECT s, t, round(d, 6) + 0.0 AS d FROM dist"))
@@ -92,35 +118,34 @@ def gr_shortest_paths(spark, sf):
     return d.select("s", "t", r_round(F.col("d"), 6).alias("d"))
 
 
-@register("gr_closeness", with_xform(_EDGES + _sp_sql(True) + "SELECT vx.node, round(c.closeness, 6) + 0.0 AS closeness FROM vx LEFT JOIN "
-                                     "(SELECT s AS node, count(*) / sum(d) AS closeness FROM dist GROUP BY s) c USING (node)"))
+@register("gr_closeness", with_xform(_EDGES + _sp_sql(True, name="udist") + _CLOSE
+                                     + "SELECT node, round(closeness, 6) + 0.0 AS closeness FROM cls"))
 def gr_closeness(spark, sf):
-    e = _edges(spark, sf)
-    d = G.shortest_paths(e, S, D, "weight", undirected=True)
-    c = G.closeness(d, G.vertices(e, S, D))
+    c = G.closeness(_edges(spark, sf), S, D, "weight")
     return c.select("node", r_round(F.col("closeness"), 6).alias("closeness"))
 
 
-@register("gr_betweenness")
+@register("gr_betweenness", with_xform(_EDGES + _sp_sql(False, name="ddist") + _bt_sql()
+                                       + "SELECT node, round(betweenness, 6) + 0.0 AS betweenness FROM bt"))
 def gr_betweenness(spark, sf):
     b = G.betweenness(_edges(spark, sf), S, D, "weight")
     return b.select("node", r_round(F.col("betweenness"), 6).alias("betweenness"))
 
 
 def _node_metrics(spark, sf):
-    e = _edges(spark, sf)
-    v = G.vertices(e, S, D)
-    deg = G.degree(e, S, D)
-    pr = G.pagerank(e, S, D, "weight")
-    bt = G.betweenness(e, S, D, "weight")
-    cl = G.closeness(G.shortest_paths(e, S, D, "weight", undirected=True), v)
-    m = deg.join(pr, "node").join(bt, "node").join(cl, "node")
+    e = _edges(spark, sf).checkpoint()
+    m = (G.degree(e, S, D).join(G.pagerank(e, S, D, "weight"), "node").join(G.betweenness(e, S, D, "weight"), "node")
+         .join(G.closeness(e, S, D, "weight"), "node"))
     return m.select(F.col("node").alias("Station"), F.col("degree").alias("Degree"), F.col("in_degree").alias("In_Degree"),
                     F.col("out_degree").alias("Out_Degree"), r_round(F.col("pagerank"), 6).alias("PageRank"),
                     r_round(F.col("betweenness"), 6).alias("Betweenness"), r_round(F.col("closeness"), 6).alias("Closeness"))
 
 
-@register("gr_node_metrics")
+@register("gr_node_metrics", with_xform(
+    _EDGES + _pr_sql() + _sp_sql(False, name="ddist") + _bt_sql() + _sp_sql(True, name="udist") + _CLOSE
+    + "SELECT node AS Station, degree AS Degree, in_degree AS In_Degree, out_degree AS Out_Degree, round(pagerank, 6) + 0.0 AS PageRank, "
+    "round(betweenness, 6) + 0.0 AS Betweenness, round(closeness, 6) + 0.0 AS Closeness "
+    "FROM deg JOIN prf USING (node) JOIN bt USING (node) JOIN cls USING (node)"))
 def gr_node_metrics(spark, sf):
     return _node_metrics(spark, sf).orderBy(F.desc("PageRank"), F.asc("Station"))
 
@@ -132,7 +157,7 @@ def topk_hubs(spark, sf):
     """head(10) of the PageRank ordering (a deterministic tiebreak on name)."""
     pr = G.pagerank(_edges(spark, sf), S, D, "weight").select(
         F.col("node").alias("Station"), r_round(F.col("pagerank"), 6).alias("PageRank"))
-    return W.rank_rows(pr, [F.desc("PageRank"), F.asc("Station")], "rank").where(F.col("rank") <= 10)
+    return W.first_rows(pr, [F.desc("PageRank"), F.asc("Station")], 10, "rank")
 
 
 @register("gr_edge_index", with_xform(
@@ -142,7 +167,7 @@ def topk_hubs(spark, sf):
 def gr_edge_index(spark, sf):
     """0-based vertex ids (sorted names) and the edge list re-keyed to them."""
     e = G.edges(transformed(spark, sf))
-    ids = G.vertices(e, S, D).withColumn("id", (F.row_number().over(Window.orderBy("node")) - 1).cast("int"))
+    ids = W.running_totals(G.vertices(e, S, D), ["node"], [], rn="no").select("node", (F.col("no") - 1).cast("int").alias("id"))
     return (e.join(ids.select(F.col("node").alias(S), F.col("id").alias("source")), S)
             .join(ids.select(F.col("node").alias(D), F.col("id").alias("target")), D)
             .select("source", "target", F.col("trip_count").alias("value")))
