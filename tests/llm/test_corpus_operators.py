@@ -1,5 +1,6 @@
 """Operators over the whole corpus: substrings, SimHash, lines; learned scores; the pipeline."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -357,3 +358,16 @@ def test_a_repeated_id_teaches_once(spark):
     assert sorted(got) == ids and got[ids[0]]["text"] == "a copy 0" and got[ids[1]]["text"] == f"text {ids[1]}"
     assert toxicity.labelled_sample(docs, labels, "toxic").count() == len(ids)
     assert toxicity.labelled_sample(docs, labels, "toxic", most=20).count() == 20
+
+
+def test_a_sample_half_toxic_teaches_as_well(spark, monkeypatch):
+    """Large inputs fill both halves of the sample: the lexicon mustn't depend on the sample's toxic share."""
+    docs, labels = (common.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    monkeypatch.setattr(toxicity, "labelled_sample", functools.partial(toxicity.labelled_sample, most=600))
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.entries
+    monkeypatch.setattr(toxicity, "fit_toxicity", lambda *a: model)
+    known = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    held = [(known[r.doc_id], r.predicted) for r in toxicity.score_toxicity(docs, labels).collect() if r.held_out and r.doc_id in known]
+    assert sum(p for y, p in held if y) > 0.8 * sum(y for y, _ in held)
+    assert sum(p for y, p in held if not y) < 0.03 * sum(not y for y, _ in held)

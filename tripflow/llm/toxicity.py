@@ -30,6 +30,7 @@ WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 SAMPLE_ROWS = 20_000   # most labelled rows that learning reads
 STEMS = (4, 5, 6, 7)   # lengths of word beginnings that can become entries
 MIN_SUPPORT = 3        # toxic texts an entry must stand in
+LEAST_RATIO = 4        # an entry's share of the toxic texts is at least so many times its share of the clean ones
 CHANCE = 1e-4          # an entry's support may be chance with at most this probability
 MAX_ENTRIES = 400
 FUZZY_LEAST = 6        # entries of so many characters and more allow one edit
@@ -191,7 +192,7 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[s
     weight = F.log((t + 0.5) / F.lit(n_toxic + 1.0)) - F.log((c + 0.5) / F.lit(n_clean + 1.0))
     counted = (sample.select("text", "label").mapInArrow(count, "unit string, beginning boolean, toxic long, clean long")
                .groupBy("unit", "beginning").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-               .where((t >= MIN_SUPPORT) & (t > 4 * base * n) & (chance < F.lit(float(np.log(CHANCE)))))
+               .where((t >= MIN_SUPPORT) & (t * n_clean >= LEAST_RATIO * c * n_toxic) & (chance < F.lit(float(np.log(CHANCE)))))
                .select("unit", "beginning", "toxic", "clean", weight.alias("weight"), (t * weight).alias("gain")))
     # A beginning that is as frequent as a longer one of its own adds nothing but risk.
     best = counted.orderBy(F.desc("gain"), "unit", "beginning").limit(4 * MAX_ENTRIES).collect()
