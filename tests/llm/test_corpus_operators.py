@@ -371,3 +371,27 @@ def test_a_sample_half_toxic_teaches_as_well(spark, monkeypatch):
     held = [(known[r.doc_id], r.predicted) for r in toxicity.score_toxicity(docs, labels).collect() if r.held_out and r.doc_id in known]
     assert sum(p for y, p in held if y) > 0.8 * sum(y for y, _ in held)
     assert sum(p for y, p in held if not y) < 0.03 * sum(not y for y, _ in held)
+
+
+def test_scores_keep_the_labels_rates_when_the_sample_is_cut(spark, monkeypatch):
+    """A word of half the toxic and a tenth of the clean texts: 5 in 13 of its texts are toxic, in a sample of halves 5 in 6."""
+    r = random.Random(3)
+    toxic = [k % 9 == 0 for k in range(2700)]
+    docs = frame(spark, [(k, f"{prose(k, 12)}{' vexing' * (r.random() < (0.5 if y else 0.1))}") for k, y in enumerate(toxic)])
+    labels = spark.createDataFrame([(k, int(y)) for k, y in enumerate(toxic)], "doc_id long, toxic int")
+    whole, sampled = toxicity.fit_toxicity(docs, labels), toxicity.labelled_sample
+    monkeypatch.setattr(toxicity, "labelled_sample", functools.partial(sampled, most=400))
+    cut = toxicity.fit_toxicity(docs, labels)
+    for model in whole, cut:
+        assert "vexing" in {e[0] for e in model.entries}
+        with_word, without = model.scores([f"{prose(7, 12)} vexing", prose(7, 12)], toxicity.Matches(toxicity.Lexicon(model.entries)))
+        assert 0.25 < with_word < 0.5 and without < 0.12
+    counts = dict(sampled(docs, labels, "toxic", most=400).groupBy("label").agg(common.F.sum("stands_for")).collect())
+    known = [y for k, y in enumerate(toxic) if zlib.crc32(str(k).encode()) % 5]
+    assert abs(counts[1] - sum(known)) < 1e-6 and abs(counts[0] - known.count(False)) < 1e-6
+
+
+def test_logistic_fit_counts_rows():
+    r = np.random.default_rng(2)
+    x, y, n = r.normal(size=(60, 2)), (r.random(60) < 0.4).astype(float), r.integers(1, 5, 60)
+    assert np.allclose(toxicity.logistic_fit(x, y, counts=n.astype(float)), toxicity.logistic_fit(np.repeat(x, n, 0), np.repeat(y, n)))

@@ -205,14 +205,16 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[s
     return out[:MAX_ENTRIES]
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
-    """Weights (the last is the intercept) by Newton's method."""
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40, counts: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the intercept) by Newton's method; counts: how often each row counts, once by default."""
     x1 = np.c_[x, np.ones(len(x))]
+    counts = np.ones(len(x)) if counts is None else counts
     w = np.zeros(x1.shape[1])
     penalty = np.r_[np.full(x.shape[1], ridge), 1e-6]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(penalty + 1e-9), x1.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x1 * (counts * p * (1 - p))[:, None]).T @ x1 + np.diag(penalty + 1e-9),
+                               x1.T @ (counts * (y - p)) - penalty * w)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-7:
             break
@@ -220,12 +222,13 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, label): training rows of at most ``most`` ids, the first by a hash of the id.
+    """(doc_id, text, label, stands_for): training rows of at most ``most`` ids, the first by a hash of the id.
 
     Training rows are those whose crc32(doc_id as text) mod 5 isn't 0; rows without a label are left out.  Half of
     the bound is for each label, so that a rare label isn't thinned out.  The chosen ids are bounded by ``most``
     and so broadcast: the texts of all other rows go no further than the scan.  Of the rows of a repeated id the
-    least text teaches, so that an id with any number of rows counts once.
+    least text teaches, so that an id with any number of rows counts once.  stands_for: all training ids of the row's
+    label by those chosen, 1 where the bound cuts nothing.
     """
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (crc_mod(F.col("doc_id")) != 0))
@@ -235,8 +238,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
     # A little more than the share wanted passes the first filter, so that few rows reach the exact cut.
     chosen = [known.where((F.col("label") == k) & (u <= 1.2 * most / 2 / max(1, counts.get(k, 0)) + 1e-4))
               .orderBy(u, "doc_id").limit(most // 2) for k in (0, 1)]
+    stands_for = [counts[k] / max(1, chosen[k].count()) if counts.get(k, 0) > most // 2 else 1.0 for k in (0, 1)]
     return (docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", "label")
-            .agg(F.min("text").alias("text")).select("doc_id", "text", "label"))
+            .agg(F.min("text").alias("text"))
+            .select("doc_id", "text", "label", F.when(F.col("label") == 1, stands_for[1]).otherwise(stands_for[0]).alias("stands_for")))
 
 
 @dataclass
@@ -251,7 +256,11 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  label_col: str = "toxic") -> ToxicityModel:
-    """Learn from at most SAMPLE_ROWS labelled rows; without toxic rows every score is low."""
+    """Learn from at most SAMPLE_ROWS labelled rows; without toxic rows every score is low.
+
+    The regression counts each row for the training rows that it stands for, so that a score is the probability at the
+    labels' own rates, however much of a label the sample leaves out.
+    """
     sample = labelled_sample(as_docs(docs, id_col, text_col), labels, label_col).checkpoint()
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if not n.get(1) or not n.get(0):
@@ -262,11 +271,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         matches = Matches(Lexicon(entries))
         for b in batches:
             x = [features(t, matches) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), *b.columns[1:]], names=["x", "label", "stands_for"])
 
-    rows = sample.select("text", "label").mapInArrow(extract, "x array<double>, label int").toArrow()  # bounded by the sample
-    x, y = np.array(rows["x"].to_pylist()), rows["label"].to_numpy().astype(float)
-    return ToxicityModel(entries, logistic_fit(x, y))
+    rows = (sample.select("text", "label", "stands_for")
+            .mapInArrow(extract, "x array<double>, label int, stands_for double").toArrow())  # bounded by the sample
+    x, y, counts = np.array(rows["x"].to_pylist()), rows["label"].to_numpy().astype(float), rows["stands_for"].to_numpy()
+    # As many in all as rows were read, so that the penalty weighs alike at every size.
+    return ToxicityModel(entries, logistic_fit(x, y, counts=counts / counts.mean()))
 
 
 def _scored(df: DataFrame, text_col: str, model: ToxicityModel, name: str) -> DataFrame:
