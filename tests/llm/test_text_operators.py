@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -200,6 +202,44 @@ def test_licences(spark, duck):
     assert [r.licence for r in licences.scan_licences(frame(spark, [(1, "Our OWN terms!")]), own).collect()] == ["House"]
 
 
+def test_standard_licence_files(spark):
+    """Whole files with titles, statements of copyright and other line breaks."""
+    def wrapped(text, width):
+        parts = re.split(r"\n[ \t]*\n", text)
+        return "\n\n".join(x if re.search(r"(?im)^\W*copyright (\(c\)|\[yyyy)", x) else textwrap.fill(
+            " ".join(x.split()), width, break_long_words=False) for x in parts)
+
+    rows, want = [], {}
+    texts = [(n, t) for n, t in licences.KNOWN if "\n" in t] + licences.file_texts()
+    assert len(texts) == 22 and all(t.strip() for _, t in texts)
+    assert all(re.search("warrant|lesser", t.lower()) for _, t in licences.file_variants())
+    for name, text in texts:
+        title = licences.TITLES.get(name, ("",))[0]
+        heads = ["", f"{title}\n\nCopyright (c) 2019-2021, The Authors of X\nAll rights reserved.\n\n", f"{title}\n© 2020 X\n(c) 2021 Y\n"]
+        for head, width in [(heads[0], 0), *((heads[1], w) for w in (0, 30, 47, 60, 72, 79, 200)), (heads[2], 66)]:
+            rows.append((len(rows), head + (wrapped(text, width) if width else text)))
+            want[len(rows) - 1] = name
+    own = [
+        ("ISC", "ISC License\n\nCopyright (c) 2020, Somebody\n\nPermission to use, copy, modify, and/or distribute this software for any\n"
+         "purpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all "
+         "copies.\n\n" + licences._ISC_WARRANTY),
+        ("BSD-3-Clause", "Copyright (c) 2020, Somebody\n\n" + dict(licences.KNOWN)["BSD-3-Clause"].replace(
+            "the copyright holder nor", "Some Body Inc. nor").replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR").replace("1. ", "* ")
+         .replace("2. ", "* ").replace("3. ", "* ")),
+        ("Apache-2.0", dict(licences.file_texts())["Apache-2.0"].split("APPENDIX")[0]),
+        ("GPL-2.0", dict(licences.file_texts())["GPL-2.0"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+                                                                  "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA")),
+        (None, dict(licences.file_texts())["GPL-3.0"] + "\nAnd more."), (None, "copyright notice\nwithout warranty"),
+        (None, dict(licences.KNOWN)["MIT"].replace("Software", "Software", 1) + "\nwithout warranty")]
+    for name, text in own:
+        rows.append((len(rows), text))
+        want[len(rows) - 1] = name
+    got = {r.doc_id: r.licence for r in licences.scan_licences(frame(spark, rows)).collect()}
+    assert {k: (got[k], want[k], rows[k][1][:60]) for k in want if got[k] != want[k]} == {}
+    house = spark.createDataFrame([("House", "Our terms.\nThe\ncopyright notice stays.")], "licence string, text string")
+    assert [r.licence for r in licences.scan_licences(frame(spark, [(1, "our terms. the copyright\nnotice stays")]), house).collect()] == ["House"]
+
+
 # --- decontamination
 
 

@@ -4,11 +4,17 @@ A text is brought to a canonical form: lower case, no copyright lines, every run
 digits one space, equivalent spellings made one.  The digest of a whole document's form is joined with the digests of
 known licence texts; so is the digest of each of its lines, for licence notices, which are texts of one line.  The join
 is an equality of digests with the small table of known texts; lines are never paired with licences.
+
+Whole files have a second form, which doesn't depend on where lines break: only statements of copyright are left out, not
+lines of the terms that begin with the word, and the parts of a licence that its users fill in are made one.  Titles and
+appendices that may be absent are further digests of a known text.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,10 +84,80 @@ software in a product, an acknowledgment in the product documentation would be a
 3. This notice may not be removed or altered from any source distribution."""),
 ]
 
+# Whole licences as files; how their files, and the texts above, may be headed.
+TEXTS = Path(__file__).with_name("licence_texts")
+TITLES = {
+    "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License", "Zero-Clause BSD License", "BSD Zero-Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License",
+                     "FreeBSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License",
+                     "Modified BSD License", "Revised BSD License", "The BSD 3-Clause License", "BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "Expat License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+}
+OWN_TITLE = {"BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003"}   # may be absent
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"   # what follows is an appendix
+
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|all rights reserved|\(c\)|©)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
+def _statement() -> str:
+    """A line that states a copyright: not of the terms, where one of _prose() follows the word."""
+    return (r"(?m)^[^\p{L}\p{N}\n_]*(?:copyright\b(?!\s*\(c\)\s*_)(?![^\p{L}\p{N}]*(?:" + "|".join(_prose()) + r")\b)[^\n]*"
+            r"|\(c\)\s*[0-9]{4}[^\n]*|©[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$")
+
+
+def _prose() -> list[str]:
+    """What follows "copyright" in the terms of the known texts; a holder's name may begin with "the" too."""
+    found = set(re.findall(r"\bcopyright[^a-z0-9]+((?:the\W+)?[a-z]+)", "\n".join(t for _, t in KNOWN + file_texts()).lower()))
+    # The GNU licences' examples are terms: lines of them may break before the word.
+    found |= {"c year name of author", "c 19yy name of author", "c 19xx name of author", "c year your name", "owners", "holders", "notices"}
+    return sorted({re.sub(r"\W+", r"[^\\p{L}\\p{N}]+", x) for x in found - {"c", "yyyy", "year", "by"}})
+
+
+# Parts of a whole file that differ between its users, each with the form it takes here.
+FILLED_IN = [
+    (r"\bhttps\b", "http"), (r" copyright owners? or contributors ", " copyright holder or contributors "),
+    (r" neither the names? of .{1,200}? nor the names of ", " neither the name of the copyright holder nor the names of "),
+    (r" (?:51 franklin st(?:reet)? (?:fifth floor |suite 500 )?boston ma 02110 1301 usa|59 temple place (?:suite 330 )?boston ma "
+     r"02111 1307 usa|675 mass ave cambridge ma 02139 usa) ", " "),
+]
+
+
+def file_texts() -> list[tuple[str, str]]:
+    return [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+
+
+def file_variants() -> list[tuple[str, str]]:
+    """(licence, text): the whole licences, with and without the parts that may be absent."""
+    out = []
+    for name, text in [(n, t) for n, t in KNOWN if "\n" in t] + file_texts():
+        body = text.replace(OWN_TITLE.get(name, ""), "", 1)
+        bodies = {text, body, re.sub(r"(?m)^[0-9][.] ", "", text) if name.startswith("BSD-") else text}
+        if END_OF_TERMS in text:
+            terms = text.split(END_OF_TERMS)[0]
+            bodies |= {terms, f"{terms}\n{END_OF_TERMS}"}
+        out += [(name, head + b) for b in sorted(bodies) for head in ("", *(f"{t}\n" for t in TITLES.get(name, ())))]
+    return out
+
+
+def file_form(text: Column) -> Column:
+    """The form of a whole file, in one line; empty if nothing is left of it."""
+    low = F.regexp_replace(F.lower(text), _statement(), "")
+    out = F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    out = reduce(lambda c, s: F.regexp_replace(c, *s), FILLED_IN, F.regexp_replace(out, " +", " "))
+    return F.trim(reduce(lambda c, s: F.replace(c, F.lit(f" {s[0]} "), F.lit(f" {s[1]} ")), sorted(SPELLINGS.items()), out))
+
+
+def may_be_file(text: Column) -> Column:
+    """False only for texts that are none of ``file_variants``: each of those has one of these words."""
+    low = F.lower(text)
+    return low.contains("warrant") | low.contains("lesser")
+
+
 def canonical(text: Column) -> Column:
     """The canonical form, with line breaks: words separated by one space, a space at both ends of a line."""
     low = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
@@ -94,8 +170,9 @@ def _lines(form: Column) -> Column:
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    """(licence, text): the built-in table."""
-    return spark.createDataFrame(KNOWN, "licence string, text string")
+    """(licence, text, in_lines): the built-in table; in_lines: the text also counts as a notice."""
+    return spark.createDataFrame([(*k, True) for k in KNOWN] + [(*k, False) for k in file_variants()],
+                                 "licence string, text string, in_lines boolean")
 
 
 def _digest(lines: Column) -> Column:
@@ -103,37 +180,49 @@ def _digest(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.sha2(F.array_join(lines, " "), 256))
 
 
+def _file_unit(text: Column) -> Column:
+    form = file_form(text)
+    return F.when(form != "", F.concat(F.lit("file "), F.sha2(form, 256)))
+
+
 def scan_licences(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, licence, n_notice_lines, notices) of every row.
 
-    digest: SHA-256 of the whole text's canonical form, null if that is empty; licence: the known text it equals, null if
-    none (of several names the least); n_notice_lines: lines that equal a known text; notices: their names in order, each
+    digest: SHA-256 of the whole text's canonical form, null if that is empty; licence: the known text it equals in that form,
+    else in the form of whole files, null if none (of several names the least); n_notice_lines: lines that equal a known text; notices: their names in order, each
     once, joined by commas, empty if none.  known: (licence, text), by default the built-in table, which alone is broadcast.
     A null text is empty; a null id stays null; repeated rows give repeated results; an empty table gives an empty result;
     other columns are not read.
     """
     own = known is None
-    table = known_licences(docs.sparkSession) if own else known.select("licence", "text")
-    table = (table.select("licence", _digest(_lines(canonical(F.col("text")))).alias("unit")).where("unit is not null")
+    table = known_licences(docs.sparkSession) if own else known.select("licence", "text", F.lit(True).alias("in_lines"))
+    # Units of whole files have a prefix: a line that equals one is no notice.
+    whole = _file_unit(F.col("text"))
+    table = (table.where("in_lines").select("licence", _digest(_lines(canonical(F.col("text")))).alias("unit"))
+             .union(table.select("licence", whole.alias("unit"))).where("unit is not null")
              .groupBy("unit").agg(F.min("licence").alias("found")))
+    if own:
+        whole = F.when(may_be_file(F.col("text")), whole)
     units = (as_docs(docs, id_col, text_col)
              .select("doc_id", F.monotonically_increasing_id().alias("row"),
-                     _lines(canonical(F.coalesce("text", F.lit("")))).alias("lines"))
+                     _lines(canonical(F.coalesce("text", F.lit("")))).alias("lines"), whole.alias("whole"))
              .select("doc_id", "row", F.explode(F.concat(
-                 F.array(F.struct(F.lit(-1).alias("no"), _digest(F.col("lines")).alias("unit"))),
+                 F.array(F.struct(F.lit(-1).alias("no"), _digest(F.col("lines")).alias("unit")),
+                         F.struct(F.lit(-2).alias("no"), F.col("whole").alias("unit"))),
                  F.transform("lines", lambda x, i: F.struct(i.alias("no"), F.sha2(x, 256).alias("unit"))))).alias("u"))
              .select("doc_id", "row", "u.no", "u.unit"))
     met = units.join(F.broadcast(table) if own else table, "unit", "left")
     is_line = F.col("no") >= 0
     return (met.groupBy("row", "doc_id")
-            .agg(F.max(F.when(~is_line, F.col("unit"))).alias("digest"), F.max(F.when(~is_line, F.col("found"))).alias("licence"),
+            .agg(F.max(F.when(F.col("no") == -1, F.col("unit"))).alias("digest"),
+                 F.coalesce(*(F.max(F.when(F.col("no") == k, F.col("found"))) for k in (-1, -2))).alias("licence"),
                  F.sum((is_line & F.col("found").isNotNull()).cast("long")).alias("n_notice_lines"),
                  F.array_join(F.sort_array(F.collect_set(F.when(is_line, F.col("found")))), ",").alias("notices"))
             .drop("row"))
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, without the form of whole files."""
     def form(text):
         out = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '', 'g')"
         out = f"' ' || regexp_replace({out}, '{NOT_WORD}', ' ', 'g') || ' '"
