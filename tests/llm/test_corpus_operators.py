@@ -395,3 +395,18 @@ def test_logistic_fit_counts_rows():
     r = np.random.default_rng(2)
     x, y, n = r.normal(size=(60, 2)), (r.random(60) < 0.4).astype(float), r.integers(1, 5, 60)
     assert np.allclose(toxicity.logistic_fit(x, y, counts=n.astype(float)), toxicity.logistic_fit(np.repeat(x, n, 0), np.repeat(y, n)))
+
+
+def test_drop_toxic_drops_what_scores_high(spark):
+    import corpus_pipeline as C
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (common.table(spark, sf, t) for t in ("documents", "labels"))
+    kept = dict(C.STAGES)["toxicity"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    low = toxicity.score_toxicity(docs, labels).where("score < 0.5").select("doc_id")
+    got = tuples(kept, "doc_id")
+    assert got == tuples(low, "doc_id")
+    left, ids = {i for i, in got}, {r.doc_id for r in docs.select("doc_id").collect()}
+    known = [(r.toxic, r.doc_id in left) for r in labels.where("toxic is not null").collect() if r.doc_id in ids]
+    assert sum(k for y, k in known if y) < 0.1 * sum(y for y, _ in known)
+    assert sum(not k for y, k in known if not y) < 0.02 * sum(not y for y, _ in known)
