@@ -410,3 +410,14 @@ def test_drop_toxic_drops_what_scores_high(spark):
     known = [(r.toxic, r.doc_id in left) for r in labels.where("toxic is not null").collect() if r.doc_id in ids]
     assert sum(k for y, k in known if y) < 0.1 * sum(y for y, _ in known)
     assert sum(not k for y, k in known if not y) < 0.02 * sum(not y for y, _ in known)
+
+
+@pytest.mark.parametrize("n_good,n_poor", [(7919, 900), (2 * 7919, 2000), (3000, 20), (1, 3)])
+def test_each_good_row_is_in_a_pair(monkeypatch, n_good, n_poor):
+    r, fit, met = np.random.default_rng(1), quality.logistic_fit, []
+    x, y = r.normal(size=(n_good + n_poor, len(quality.NAMES))), np.r_[np.ones(n_good, int), np.zeros(n_poor, int)]
+    x[n_good:] = 0
+    monkeypatch.setattr(quality, "logistic_fit", lambda a, *b, **k: met.append(a) or fit(a, *b, **k))
+    quality.fit_pairs(x, y)
+    pairs = met[0][:len(met[0]) // 2]
+    assert len(np.unique(pairs, axis=0)) == n_good

@@ -8,6 +8,7 @@ then give the threshold, a quantile of them, and the slope that turns distances
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -83,8 +84,10 @@ def fit_pairs(x: np.ndarray, y: np.ndarray) -> QualityModel:
     good, poor = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(poor):
         return QualityModel(mean, scale, np.zeros(x.shape[1]), 0.0, 0.0, 1.0)
-    a = np.tile(poor, PAIRS_PER_POOR)
-    b = good[(np.arange(len(a)) * 7919) % len(good)]
+    # As many pairs as good rows at least, and a stride that has no factor in common with their number: each good row is met.
+    a = np.resize(poor, max(PAIRS_PER_POOR * len(poor), len(good)))
+    stride = next(k for k in range(7919, 7919 + len(good) + 1) if math.gcd(k, len(good)) == 1)
+    b = good[(np.arange(len(a)) * stride) % len(good)]
     diff = z[b] - z[a]
     # Each pair once as won and once, mirrored, as lost: the intercept is then zero.
     w = logistic_fit(np.r_[diff, -diff], np.r_[np.ones(len(diff)), np.zeros(len(diff))], ridge=1.0)[:-1]
