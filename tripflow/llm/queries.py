@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tripflow.llm import (bpe, decontaminate, fingerprint, licences, linededup, packing, quality, simhash, substring,
-                          toxicity)
+from tripflow.llm import (bpe, chat, decontaminate, fingerprint, licences, linededup, packing, quality, search, simhash,
+                          substring, toxicity, whitening)
 from tripflow.llm.common import table
 
 # Where the vocabulary files are; the operators take the paths as parameters.
@@ -56,8 +56,23 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_roundtrip(table(spark, sf_dir, "documents"), JSON_VOCABULARY)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16)
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
+    return chat.digest(chat.format_conversations(rows))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_multiset_fingerprint, op2_toxicity, op3_token_packing, op4_licence_scan, op5_substring_dedup, op6_decontamination,
-    op7_simhash_dedup, op8_quality_ranking, op9_line_dedup, op10_bpe_roundtrip)}
+    op7_simhash_dedup, op8_quality_ranking, op9_line_dedup, op10_bpe_roundtrip, op11_embedding_whitening,
+    op12_chat_formatting, op13_ranked_search)}
 
-ORACLE: dict[str, str] = {"op4_licence_scan": licences.oracle()}
+ORACLE: dict[str, str] = {"op4_licence_scan": licences.oracle(), "op12_chat_formatting": chat.oracle(),
+                          "op13_ranked_search": search.oracle()}
