@@ -42,7 +42,7 @@ def pieces(data: bytes):
     """Parts of about PIECE_BYTES, cut at separators."""
     at = 0
     while len(data) - at > PIECE_BYTES:
-        cut = data.rfind(b" ", at, at + PIECE_BYTES)
+        cut = data.rfind(b" ", at + 1, at + PIECE_BYTES)
         cut = data.find(b" ", at + PIECE_BYTES) if cut < 0 else cut
         if cut < 0:
             break
