@@ -123,6 +123,20 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - k] + following[:k]
 
 
+def range_of(rows: DataFrame, starts: list[int]) -> DataFrame:
+    """rows with the number r of the range that holds k: the last of the falling starts that is k or above.
+
+    Two steps of about sqrt(len(starts)) comparisons against two constant arrays, so that the plan has the same size
+    for any number of ranges."""
+    width = max(1, int(len(starts) ** 0.5))
+    ends = [starts[min(at + width, len(starts)) - 1] for at in range(0, len(starts), width)]
+    table = F.lit(np.array(starts, np.int64))
+    above = lambda s: F.col("k") <= s
+    passed = rows.withColumn("passed", F.size(F.filter(F.lit(np.array(ends, np.int64)), above)) * width)
+    inner = F.size(F.filter(F.slice(table, F.col("passed") + 1, F.lit(width)), above))
+    return passed.withColumn("r", F.least(F.col("passed") + inner, F.lit(len(starts))) - 1).drop("passed")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
@@ -139,18 +153,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Range r holds the ids up to starts[r] and above starts[r + 1]; starts are ids of the table.
     starts = sorted({*(cuts or []), top} - {None}, reverse=True) or [0]
     # A row also goes to the range before if its id is the first of its own; the first row of all also to the last range.
-    placed = F.lit(0)
-    for s in starts[1:]:
-        placed = placed + (F.col("k") <= F.lit(s)).cast("int")
     last = len(starts) - 1
     before = F.when(F.col("k") == F.lit(starts[0]), F.lit(last)).otherwise(F.col("r") - 1)
-    is_first = F.col("k").isin([int(s) for s in starts])
-    dealt = (rows.withColumn("r", placed)
+    is_first = F.col("k") == F.get(F.lit(np.array(starts, np.int64)), F.col("r"))
+    dealt = (range_of(rows, starts)
              .withColumn("to", F.when(is_first, F.array(F.struct(F.col("r").alias("r"), F.lit(0).alias("extra")),
                                                         F.struct(before.alias("r"), F.lit(1).alias("extra"))))
                          .otherwise(F.array(F.struct(F.col("r").alias("r"), F.lit(0).alias("extra")))))
              .select("doc_id", "k", "text", F.explode("to").alias("to")).select("doc_id", "k", "text", "to.r", "to.extra"))
-    ordered = dealt.repartition(n, "r").sortWithinPartitions("r", "extra", F.desc("k"), "text")
+    ordered = dealt.repartitionById(n, "r").sortWithinPartitions("r", "extra", F.desc("k"), "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
                         ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
