@@ -13,6 +13,7 @@ block; which documents share a block follows from the input's files, and a repea
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripflow.llm import bpe
 from tripflow.llm.common import as_docs
 
 # Fixed value: the pattern by which byte-level vocabularies of this kind split text.
@@ -79,13 +81,43 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-def load_encoding(path: str) -> tiktoken.Encoding:
+def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def load_encoding(path: str) -> tiktoken.Encoding:
+    ranks = load_ranks(path)
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
+_RANK_TABLES: dict[str, bpe.PieceTable] = {}
+# The library's pattern gives up on runs of blanks of some hundred thousand; texts with such ones are streamed.
+LONG_BLANK = re.compile(r"\s{50000}")
+
+
+def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
+    """The merge list of a rank vocabulary: a token's two parts are what lower ranks merge its bytes into."""
+    out = []
+    for token, rank in sorted(ranks.items(), key=lambda e: e[1]):
+        parts = [token[k:k + 1] for k in range(len(token))]
+        while len(parts) > 2:
+            best = min(((ranks.get(parts[k] + parts[k + 1], rank), k) for k in range(len(parts) - 1)))
+            if best[0] >= rank:
+                raise ValueError(f"token {token!r} can't be merged from lower ranks")
+            parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        if len(parts) == 2:
+            out.append((parts[0], parts[1]))
+    return out
+
+
+def _rank_table(path: str) -> bpe.PieceTable:
+    """The same vocabulary for the streaming encoder, built when a task first meets such a text."""
+    if path not in _RANK_TABLES:
+        ranks = load_ranks(path)
+        _RANK_TABLES[path] = bpe.PieceTable(bpe.MergeTable(ranks, merges_of(ranks)))
+    return _RANK_TABLES[path]
 
 PACKED = pa.schema([("block", pa.int64()), ("row_no", pa.int32()), ("n_tokens", pa.int32()), ("ids", pa.binary()),
                     ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())),
@@ -102,7 +134,8 @@ def pack_tokens(docs: DataFrame, rank_path: str, length: int = 2048, pad_id: int
     first_tokens: each segment's document and its first token's place there; the segments of a document, put together
     in that order, are its tokens.  Special tokens' strings are ordinary text.  A null or empty text has no tokens and
     no segment; a null id is kept as null; repeated rows are packed as often as they stand; an empty table gives no
-    rows; other columns are not read.
+    rows; other columns are not read.  A text with a run of 50,000 blanks or more goes through the streaming encoder, with the
+    same ids.
     """
     if not 1 <= length <= 1 << 24:
         raise ValueError("length must be 1 to 2**24")
@@ -130,7 +163,12 @@ def pack_tokens(docs: DataFrame, rank_path: str, length: int = 2048, pad_id: int
     def run(batches):
         if rank_path not in _ENCODINGS:
             _ENCODINGS[rank_path] = load_encoding(rank_path)
-        encode = _ENCODINGS[rank_path].encode_to_numpy
+        library = _ENCODINGS[rank_path].encode_to_numpy
+
+        def encode(text, **options):
+            if not LONG_BLANK.search(text):
+                return library(text, **options)
+            return np.frombuffer(bpe.encode(_rank_table(rank_path), text), "<u4")
         block, held, n = TaskContext.get().partitionId() << 24, [], 0
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
