@@ -15,6 +15,7 @@ words of address (abuse); the window is ``WINDOW`` words either side.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -32,7 +33,6 @@ STEMS = (4, 5, 6, 7)   # lengths of word beginnings that can become entries
 MIN_SUPPORT = 3        # toxic texts an entry must stand in
 LEAST_RATIO = 4        # an entry's share of the toxic texts is at least so many times its share of the clean ones
 CHANCE = 1e-4          # an entry's support may be chance with at most this probability
-MAX_ENTRIES = 400
 FUZZY_LEAST = 6        # entries of so many characters and more allow one edit
 WINDOW = 8
 # Words of report and of address in the languages of the corpus.
@@ -149,7 +149,7 @@ def features(text: str | None, matches: Matches) -> list[float]:
         for i, (a, b) in hits:
             near = {w.lower() for w in words[max(0, i - WINDOW):i + WINDOW + 1]}
             factor = 1.0
-            if marks and sum(1 for x in marks if x < spans[i]) % 2:
+            if marks and bisect_left(marks, spans[i]) % 2:
                 factor *= QUOTED
             if near & REPORT:
                 factor *= REPORTED
@@ -171,7 +171,8 @@ def units(text: str) -> set[tuple[str, bool]]:
 
 
 def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
-    """Entries from (text, label) rows; at most MAX_ENTRIES come to the driver."""
+    """Entries from (text, label) rows, by falling gain.  All that pass the tests are kept: as each stands in MIN_SUPPORT
+    texts of the sample, the sample's bound is theirs too."""
     schema = pa.schema([("unit", pa.string()), ("beginning", pa.bool_()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def count(batches):
@@ -194,15 +195,13 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[s
                .groupBy("unit", "beginning").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
                .where((t >= MIN_SUPPORT) & (t * n_clean >= LEAST_RATIO * c * n_toxic) & (chance < F.lit(float(np.log(CHANCE)))))
                .select("unit", "beginning", "toxic", "clean", weight.alias("weight"), (t * weight).alias("gain")))
+    counted = counted.checkpoint()
     # A beginning that is as frequent as a longer one of its own adds nothing but risk.
-    best = counted.orderBy(F.desc("gain"), "unit", "beginning").limit(4 * MAX_ENTRIES).collect()
-    support = {(r["unit"], r["beginning"]): r["toxic"] for r in best}
-    out = []
-    for r in best:
-        longer = max((s for (u, _), s in support.items() if len(u) > len(r["unit"]) and u.startswith(r["unit"])), default=0)
-        if not (r["beginning"] and longer >= 0.9 * r["toxic"]):
-            out.append((r["unit"], r["beginning"], float(r["weight"])))
-    return out[:MAX_ENTRIES]
+    longer = counted.select("toxic", F.explode(F.array(*[F.when(F.length("unit") > k, F.substring("unit", 1, k)) for k in STEMS])).alias("unit"))
+    longer = longer.where(F.col("unit").isNotNull()).groupBy("unit").agg(F.max("toxic").alias("longer"))
+    kept = (counted.join(longer, "unit", "left")
+            .where(~(F.col("beginning") & (F.coalesce("longer", F.lit(0)) >= 0.9 * F.col("toxic")))))
+    return [(r["unit"], r["beginning"], float(r["weight"])) for r in kept.orderBy(F.desc("gain"), "unit", "beginning").collect()]
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40, counts: np.ndarray | None = None) -> np.ndarray:
