@@ -33,7 +33,7 @@ STEMS = (4, 5, 6, 7)   # lengths of word beginnings that can become entries
 MIN_SUPPORT = 3        # toxic texts an entry must stand in
 LEAST_RATIO = 4        # an entry's share of the toxic texts is at least so many times its share of the clean ones
 CHANCE = 1e-4          # an entry's support may be chance with at most this probability
-FUZZY_LEAST = 6        # entries of so many characters and more allow one edit
+FUZZY_LEAST = 4        # entries of so many characters and more allow one edit: of three letters too little would be left
 WINDOW = 8
 # Words of report and of address in the languages of the corpus.
 REPORT = frozenset("said says wrote quote quoted quotes called calls slur term word insult report reported "
