@@ -15,15 +15,16 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import r_round
+from . import cluster as CL
 from . import evaluation as EV
+from . import manymeans as MM
 
 # The PCA feature set (14) and the pre-trip classifier features (19).
 PCA_FEATURES = ["actual_departure_delay_min", "actual_arrival_delay_min", "total_delay", "delay_change",
@@ -39,7 +40,7 @@ CLASS_FEATURES = ["temperature_C", "humidity_percent", "wind_speed_kmh", "precip
 
 # Trees of a forest, starts of K-Means, costs of the SVM grid.
 RF_TREES = 100
-KMEANS_STARTS = 25
+KMEANS_STARTS = MM.STARTS
 SVM_COSTS = (0.25, 0.5, 1.0, 2.0, 4.0)
 SVM_TOL = 1e-3   # change of the loss at which an SVM's fit ends
 
@@ -105,42 +106,27 @@ def pca_select(variance: DataFrame) -> DataFrame:
                         F.min(F.when(F.col("Cumulative_Pct") >= 90, F.regexp_extract("Component", r"(\d+)", 1).cast("int"))).alias("first_90"))
 
 
-def best_kmeans(data: DataFrame, k: int, seed: int = 42, max_iter: int = 100, starts: int = KMEANS_STARTS):
-    """The model of least cost over ``starts`` seeds, seed, seed + 1, ..."""
-    models = (KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="__f", predictionCol="__c").fit(data) for i in range(starts))
-    return min(models, key=lambda m: m.summary.trainingCost)
+def kmeans_models(scores: DataFrame, cols: list[str], ks, seed: int = 42, starts: int = KMEANS_STARTS) -> dict[int, MM.Model]:
+    """K -> the model of least within-cluster SS over ``starts`` starts, all Ks and starts fitted together."""
+    data = MM.vectors(scores, cols).persist()
+    models = MM.best_models(data, ks, starts, seed)
+    data.unpersist()
+    return models
 
 
-def kmeans_fit(scores: DataFrame, cols: list[str], k: int, seed: int = 42, max_iter: int = 100,
-               starts: int = KMEANS_STARTS) -> DataFrame:
-    va = VectorAssembler(inputCols=cols, outputCol="__f")
-    data = va.transform(scores).cache()
-    m = best_kmeans(data, k, seed, max_iter, starts)
-    data.unpersist()
-    return m.transform(va.transform(scores)).withColumn("cluster", F.col("__c") + 1).drop("__f", "__c")
-
-
-def kmeans_sweep(scores: DataFrame, cols: list[str], ks, seed: int = 42, starts: int = 1) -> DataFrame:
-    """K, within-cluster SS (K=1: total SS), squared-Euclidean silhouette.
-
-    One k-means|| start for each K by default: its seeding looks at the data
-    several times, and 25 starts of nine Ks are 225 fits."""
-    spark = scores.sparkSession
-    va = VectorAssembler(inputCols=cols, outputCol="__f")
-    data = va.transform(scores).select("__f").cache()
-    tot = data.select(vector_to_array("__f").alias("a"))
-    means = tot.agg(*[F.avg(F.col("a")[i]).alias(f"m{i}") for i in range(len(cols))])
-    tss = tot.crossJoin(F.broadcast(means)).select(sum(((F.col("a")[i] - F.col(f"m{i}")) ** 2 for i in range(len(cols))),
-                                                       F.lit(0.0)).alias("d")).agg(F.sum("d")).collect()[0][0]
-    rows = [(1, float(tss), None)]
-    ev = ClusteringEvaluator(featuresCol="__f", predictionCol="__c", distanceMeasure="squaredEuclidean")
-    for k in ks:
-        m = best_kmeans(data, k, seed, 100, starts)
-        sil = ev.evaluate(m.transform(data))
-        rows.append((k, float(m.summary.trainingCost), float(sil)))
-    data.unpersist()
-    out = spark.createDataFrame(rows, "K int, wss double, silhouette double")
-    return out.select("K", r_round(F.col("wss"), 4).alias("wss"), r_round(F.col("silhouette"), 6).alias("silhouette"))
+def kmeans_assign(scores: DataFrame, cols: list[str], model: MM.Model) -> DataFrame:
+    """scores with ``cluster``, the number (from 1) of the nearest centre."""
+    v = F.array(*[F.col(c).cast("double") for c in cols])
+    return scores.withColumn("cluster", MM.nearest_centre(v, model.centres))
+
+
+def kmeans_sweep(scores: DataFrame, cols: list[str], models: dict[int, MM.Model]) -> DataFrame:
+    """K, within-cluster SS (K=1: total SS), squared-Euclidean silhouette."""
+    rows = []
+    for k, m in sorted(models.items()):
+        sil = None if k == 1 else CL.silhouette_sq(kmeans_assign(scores, cols, m), "cluster", cols).first()["silhouette"]
+        rows.append((k, round(m.wss, 4), sil))
+    return scores.sparkSession.createDataFrame(rows, "K int, wss double, silhouette double")
 
 
 def choose_k(elbow: DataFrame, lo: int = 2, hi: int = 5) -> DataFrame:
@@ -149,36 +135,14 @@ def choose_k(elbow: DataFrame, lo: int = 2, hi: int = 5) -> DataFrame:
     return best.select("best_k", F.least(F.greatest(F.col("best_k"), F.lit(lo)), F.lit(hi)).alias("chosen_k"))
 
 
-def gap_statistic(scores: DataFrame, cols: list[str], ks, n_ref: int = 3, seed: int = 42) -> DataFrame:
-    """Gap(k) = mean_b log W*_kb - log W_k, reference sets drawn uniformly in
-    the bounding box of the data with Spark's seeded ``rand``."""
-    spark = scores.sparkSession
-    box = scores.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
-                     *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)])
-
-    def wss(df, k):
-        if k == 1:
-            a = df.agg(*[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)], F.count("*").alias("n")).collect()[0]
-            return sum(a[f"v{i}"] for i in range(len(cols))) * a["n"]
-        va = VectorAssembler(inputCols=cols, outputCol="__f")
-        return KMeans(k=k, seed=seed, maxIter=50, featuresCol="__f").fit(va.transform(df)).summary.trainingCost
-
-    refs = []
-    for b in range(n_ref):
-        r = scores.select(F.lit(1).alias("__one")).crossJoin(F.broadcast(box)).select(
-            *[(F.col(f"lo{i}") + F.rand(seed + 97 * b + i) * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(c)
-              for i, c in enumerate(cols)]).cache()
-        refs.append(r)
-    rows = []
-    for k in ks:
-        lw = math.log(wss(scores, k))
-        lr = [math.log(wss(r, k)) for r in refs]
-        m = sum(lr) / len(lr)
-        sd = math.sqrt(sum((x - m) ** 2 for x in lr) / len(lr)) * math.sqrt(1 + 1 / len(lr))
-        rows.append((k, round(m - lw, 6), round(sd, 6)))
-    for r in refs:
-        r.unpersist()
-    return spark.createDataFrame(rows, "K int, gap double, se double")
+def gap_statistic(scores: DataFrame, cols: list[str], models: dict[int, MM.Model], n_ref: int = 10, seed: int = 42,
+                  starts: int = 10) -> DataFrame:
+    """Gap(k) = mean_b log W*_kb - log W_k against sets drawn uniformly from the data's bounding box."""
+    data = MM.vectors(scores, cols).persist()
+    rows = MM.gap_statistic(data, models, n_ref, starts, seed)
+    data.unpersist()
+    return scores.sparkSession.createDataFrame(
+        [(k, None if g is None else round(g, 6), None if e is None else round(e, 6)) for k, g, e in rows], "K int, gap double, se double")
 
 
 # ---------------------------------------------------------------- classification

@@ -63,18 +63,22 @@ def ml_pca_scores(spark, sf):
     return _pca(spark, sf).scores
 
 
+def _kmeans(spark, sf):
+    p = _pca(spark, sf)
+    return _memo(spark, sf, "kmeans-models", lambda: M.kmeans_models(p.scores, p.score_cols, range(1, 11), seed=42))
+
+
 def kmeans_scores(spark, sf):
-    def fit():
-        p = _pca(spark, sf)
-        return M.kmeans_fit(p.scores, p.score_cols, k=cl_choose_k(spark, sf).first()["chosen_k"], seed=42)
-    return _memo(spark, sf, "kmeans", fit)
+    p = _pca(spark, sf)
+    k = _memo(spark, sf, "kmeans-k", lambda: cl_choose_k(spark, sf).first()["chosen_k"])
+    return M.kmeans_assign(p.scores, p.score_cols, _kmeans(spark, sf)[k])
 
 
 @register("cl_elbow")
 def cl_elbow(spark, sf):
-    """Within-cluster SS for K = 1..10 (K = 1 is the total SS)."""
+    """Within-cluster SS for K = 1..10 (K = 1 is the total SS), the best of 25 starts each."""
     p = _pca(spark, sf)
-    return _memo(spark, sf, "elbow", lambda: M.kmeans_sweep(p.scores, p.score_cols, range(2, 11), seed=42))
+    return _memo(spark, sf, "elbow", lambda: M.kmeans_sweep(p.scores, p.score_cols, _kmeans(spark, sf)))
 
 
 @register("cl_choose_k")
@@ -91,9 +95,9 @@ def cl_kmeans(spark, sf):
 
 @register("cl_gap_statistic")
 def cl_gap_statistic(spark, sf):
-    """Gap statistic for K = 1..6 against uniform reference boxes."""
+    """Gap statistic for K = 1..10 (the best of 25 starts) against ten uniform reference sets (the best of 10)."""
     p = _pca(spark, sf)
-    return M.gap_statistic(p.scores, p.score_cols, range(1, 7), n_ref=3, seed=42)
+    return M.gap_statistic(p.scores, p.score_cols, _kmeans(spark, sf), seed=42)
 
 
 # ---------------------------------------------------------------- classification
