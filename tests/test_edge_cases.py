@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,8 +77,10 @@ def test_smote_gives_a_row_for_every_minority_row(spark):
 
 def test_scaling_comes_from_the_training_rows(spark):
     train = spark.createDataFrame([("1", 0.0, 0.0), ("2", 1.0, 10.0)], "trip_id string, label double, a double")
-    held = spark.createDataFrame([("3", 0.0, 5.0)], "trip_id string, label double, a double")
-    assert M._scaled_features(held, ["a"], M._scaling(train, ["a"])).first()["a"] == 0.0
+    held = train.limit(1).selectExpr("'3' AS trip_id", "label", "500.0D AS a")
+    weight = F.when(F.col("trip_id") == "3", 0.0).otherwise(1.0)
+    mean, deviation = M._scale_of(train.unionByName(held), ["a"], weight)
+    assert M.ML.scaled_map(mean, deviation)(np.array([[5.0]])).tolist() == [[0.0, 1.0]]
 
 
 def test_medians_are_taken_before_dates_are_dropped(spark):
