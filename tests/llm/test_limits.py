@@ -160,3 +160,25 @@ def test_many_quotation_marks_take_time_in_proportion():
         toxicity.features('"a" idiot ' * n, lexicon)
         took.append(time.time() - began)
     assert took[1] < 30 * took[0] + 1
+
+
+def test_logistic_fit_doesnt_overshoot():
+    """Features as a large lexicon gives them: nearly separable, on scales that let plain Newton steps run away."""
+    r = np.random.default_rng(3)
+    y = (r.uniform(size=4000) < 0.1).astype(float)
+    strong = np.where(y == 1, r.uniform(6, 9, 4000), np.where(r.uniform(size=4000) < 0.02, r.uniform(4, 6, 4000), 0.0))
+    x = np.c_[strong > 0, strong, np.log1p(3 * strong), r.uniform(size=4000) < 0.3, r.uniform(0, 4, 4000), 30 * strong * (r.uniform(size=4000) < 0.5)]
+    w = toxicity.logistic_fit(x, y, counts=np.where(y == 1, 1.0, 3.0))
+    p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500)))
+    assert ((p >= 0.5) == (y == 1)).mean() > 0.999
+    gradient = np.c_[x, np.ones(4000)].T @ (np.where(y == 1, 1.0, 3.0) * (p - y)) + np.r_[np.full(6, 1e-2), 1e-6] * w
+    assert np.abs(gradient).max() < 1e-2
+
+
+def test_toxicity_with_a_large_lexicon_tells_held_out_rows_apart(spark):
+    r = random.Random(4)
+    terms = ["".join(r.choices("bcdfghjklmnpqrstvwxz", k=8)) for _ in range(600)]
+    rows = [(k, prose(k, 30) + (" " + " ".join(r.sample(terms, 12)) + " you" if k % 10 == 0 else "")) for k in range(5000)]
+    labels = spark.createDataFrame([(k, 0, int(k % 10 == 0)) for k, _ in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(frame(spark, rows), labels).where("held_out").collect()
+    assert sum(x.predicted != int(x.doc_id % 10 == 0) for x in got) <= 0.01 * len(got)

@@ -204,18 +204,30 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[s
     return [(r["unit"], r["beginning"], float(r["weight"])) for r in kept.orderBy(F.desc("gain"), "unit", "beginning").collect()]
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40, counts: np.ndarray | None = None) -> np.ndarray:
-    """Weights (the last is the intercept) by Newton's method; counts: how often each row counts, once by default."""
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100, counts: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the intercept) by Newton's method; counts: how often each row counts, once by default.
+
+    A step is halved until it lowers the penalised loss, so that a start far from the minimum can't overshoot for good."""
     x1 = np.c_[x, np.ones(len(x))]
     counts = np.ones(len(x)) if counts is None else counts
     w = np.zeros(x1.shape[1])
     penalty = np.r_[np.full(x.shape[1], ridge), 1e-6]
+
+    def loss(v):
+        z = x1 @ v
+        return (counts * (np.logaddexp(0, z) - y * z)).sum() + (penalty * v * v).sum() / 2
+
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -500, 500)))
         step = np.linalg.solve((x1 * (counts * p * (1 - p))[:, None]).T @ x1 + np.diag(penalty + 1e-9),
                                x1.T @ (counts * (y - p)) - penalty * w)
-        w += np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-7:
+        size = 1.0
+        while size > 1e-9 and not loss(w + size * step) <= now:
+            size /= 2
+        w = w + size * step
+        last, now = now, loss(w)
+        if size <= 1e-9 or np.abs(size * step).max() < 1e-7 or last - now < 1e-10 * abs(now):
             break
     return w
 
