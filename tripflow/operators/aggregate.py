@@ -105,6 +105,18 @@ def binned_trend(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
                                          r_round(F.stddev_samp(y) / F.sqrt(F.count("*")), 4).alias("y_se")))
 
 
+def ellipses(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """Size, centre and covariance of each group (round 4)."""
+    return df.groupBy(group).agg(F.count("*").alias("n"), *[r_round(c, 4).alias(name) for name, c in (
+        ("mean_x", F.avg(x)), ("mean_y", F.avg(y)), ("var_x", F.var_samp(x)), ("var_y", F.var_samp(y)), ("cov_xy", F.covar_samp(x, y)))])
+
+
+def hash_sample(df: DataFrame, key: str, rate: float) -> DataFrame:
+    """Rows whose key's MD5, read as a number between 0 and 1 from its first eight digits, lies below ``rate``: the same rows
+    whatever the partitioning, each key with all its rows or none.  A null key is the empty one."""
+    return df.where(F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") < F.lit(int(rate * (1 << 32))))
+
+
 def corr_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every column pair on complete cases, long form.
 

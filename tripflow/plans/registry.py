@@ -26,7 +26,7 @@ def register(key: str, sql: str | None = None):
 
 
 MODULES = ("q_io", "q_profile", "q_quality", "q_features", "q_aggregate", "q_windows", "q_report",
-           "q_timeseries", "q_graph", "q_eval", "q_cluster", "q_ml", "q_metric", "q_fitted", "q_streaming")
+           "q_timeseries", "q_graph", "q_eval", "q_cluster", "q_ml", "q_metric", "q_curves", "q_fitted", "q_streaming")
 
 
 def load_all() -> None:
