@@ -16,7 +16,8 @@ KEYS = [
     "rep_kpi", "rep_hourly_patterns", "ts_locf_mean", "ts_sequences", "ts_metrics", "jn_calendar_left",
     "gr_edges", "gr_degree", "gr_pagerank", "gr_closeness", "ml_auc", "ml_roc_points", "ml_stratified_split",
     "ml_upsample", "cl_knn_distance", "cl_eps_neighbors", "cl_dbscan", "cl_silhouette", "src_trips_csv",
-    "set_union_by_name", "sc_date_parts", "st_hourly",
+    "set_union_by_name", "sc_date_parts", "st_hourly", "cl_silhouette_exact", "cl_knn_distance_3d", "cl_eps_neighbors_3d",
+    "cl_dbscan_3d", "agg_loess", "ts_entity_forecast", "agg_group_ellipse", "gr_node_list", "agg_scatter_sample",
 ]
 
 

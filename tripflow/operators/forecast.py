@@ -126,6 +126,8 @@ def _passes(rows: DataFrame, net: Network) -> tuple[float, float, np.ndarray, np
             total[1] += ((net(x[held]) - y[held]) ** 2).sum()
             for at in range(0, len(x), 1024):
                 own = ~held[at:at + 1024]
+                if not own.any():
+                    continue
                 f, j = net.jacobian(x[at:at + 1024][own])
                 r = f - y[at:at + 1024][own]
                 total += np.r_[r @ r, 0.0, len(r), j.T @ r, (j.T @ j).ravel()]
