@@ -225,7 +225,8 @@ def clean(df: DataFrame, key: str = "trip_id", stage=_checkpoint) -> CleanResult
     t3, modes = impute_mode(t2, [c for c in LABEL_MODE_COLS if c in t2.columns])
     t3, times = impute_mode(t3.dropna(subset=["date"]), [c for c in TIME_MODE_COLS if c in t3.columns])
     modes = modes | times
-    t4 = stage(dedup_key(dedup_rows(t3, [c for c in TRIP_COLUMNS if c in t3.columns]), key), "dedup")
+    # equal rows have equal keys, so the first row of each key is also the first of its equals: one pass does for both
+    t4 = stage(dedup_key(t3, key), "dedup")
     bounds = outlier_bounds(t4, OUTLIER_COLS)
     t5 = circular_flag(winsorize(t4, bounds))
     counts["raw"] = raw
