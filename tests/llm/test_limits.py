@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from cases import frame, prose, tuples
-from tripflow.llm import bpe, common, decontaminate, fingerprint, packing, toxicity
+from tripflow.llm import bpe, common, decontaminate, fingerprint, linededup, packing, toxicity
 from tripflow.llm.queries import JSON_VOCABULARY, RANK_VOCABULARY
 
 
@@ -182,3 +182,17 @@ def test_toxicity_with_a_large_lexicon_tells_held_out_rows_apart(spark):
     labels = spark.createDataFrame([(k, 0, int(k % 10 == 0)) for k, _ in rows], "doc_id long, quality int, toxic int")
     got = toxicity.score_toxicity(frame(spark, rows), labels).where("held_out").collect()
     assert sum(x.predicted != int(x.doc_id % 10 == 0) for x in got) <= 0.01 * len(got)
+
+
+# --- lines
+
+
+def test_lines_of_a_very_long_text(spark):
+    line = "a log line that is long enough to be compared"
+    rows = [(1, f"{line}\n" * 300_000 + "end"), (2, "other\n\n" + line), (3, None)]
+    began = time.time()
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert (got[1].kept_text, got[1].n_lines, got[1].n_dropped) == (f"{line}\nend", 300_001, 299_999)
+    assert got[2].kept_text == "other\n" and got[3].kept_text is None and time.time() - began < 60
+    kept = {r.doc_id: r.text for r in linededup.strip_lines(frame(spark, rows)).collect()}
+    assert kept == {1: f"{line}\nend", 2: "other\n", 3: None}
