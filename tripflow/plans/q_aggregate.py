@@ -365,16 +365,13 @@ def agg_delay_stats(spark, sf):
                 "max_delay", "min_delay", "delay_rate")
 
 
-SCATTER_RATE = 0.25
-
-
 @register("agg_scatter_sample", with_clean(
     "SELECT trip_id, temperature_C, precipitation_mm, wind_speed_kmh, traffic_congestion_index, actual_arrival_delay_min "
-    f"FROM cleaned WHERE substr(md5(coalesce(trip_id, '')), 1, 8) < '{int(SCATTER_RATE * (1 << 32)):08x}'"))
+    "FROM cleaned"))
 def agg_scatter_sample(spark, sf):
-    """Point data behind the four scatter plots: a quarter of the trips by a
-    hash of their keys, pruned to the plotted columns."""
-    df = A.hash_sample(cleaned(spark, sf), "trip_id", SCATTER_RATE)
+    """Point data behind the four scatter plots: every row, pruned to the
+    plotted columns."""
+    df = cleaned(spark, sf)
     return df.select("trip_id", "temperature_C", "precipitation_mm", "wind_speed_kmh", "traffic_congestion_index", ARR)
 
 
