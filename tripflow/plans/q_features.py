@@ -58,7 +58,7 @@ def jn_station_features(spark, sf):
 def jn_route_features(spark, sf):
     """Route stats joined with the suffix rule (no clash → no suffix)."""
     df = cleaned(spark, sf)
-    rt = FE.route_stats(df)
+    rt = FE.settled(FE.route_stats(df), "route_id")
     out = FE.join_back(df, rt, "route_id", ["route_avg_delay", "route_delay_rate"], ("_station", "_route"))
     return out.select("trip_id", "route_id", "route_avg_delay", "route_delay_rate")
 
