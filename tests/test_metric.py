@@ -199,3 +199,12 @@ def test_means_of_few_points(spark):
     best = MM.best_models(MM.vectors(df, cols), [1, 2, 3])
     assert sorted(best) == [1, 2] and best[2].wss == 0 and math.isclose(best[1].wss, 25 * 2 / 3)
     assert MM.best_models(MM.vectors(df.limit(0), cols), [1, 2]) == {}
+
+
+def test_points_are_never_broadcast(spark):
+    """Joins of points with points are sort-merge joins, however small the planner takes a column of ids to be."""
+    df, cols = frame(spark, sample(3, 2, 60))
+    points = MT.points_nd(df, cols)
+    for out in (MT.knn_distances(points, 5), MT.eps_neighbours_nd(points, 0.5), MT.dbscan_nd(points, 0.5)):
+        assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [id" not in out._jdf.queryExecution().executedPlan().toString()
