@@ -86,7 +86,8 @@ def running_totals(df: DataFrame, order: list, sums: list[str], partition: list[
                    buckets: int | None = None, prefix: str = "cum_", rn: str | None = None) -> DataFrame:
     """Inclusive running sums (and optionally a 1-based row number) in
     ``order`` within ``partition`` — exact, without sending a whole group
-    through one task.
+    through one task.  There are as many buckets as shuffles begin with
+    partitions, a number that the stages raise with their input.
 
     Two levels: rows are range-partitioned on (partition, order) into
     ordered buckets (equal keys stay together); each bucket sums its rows
@@ -99,7 +100,8 @@ def running_totals(df: DataFrame, order: list, sums: list[str], partition: list[
     partition = list(partition or [])
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(int(spark.conf.get(k, None) or 1) for k in (
+        "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
     order_cols = [o if not isinstance(o, str) else F.col(o) for o in order]
     b = df.repartitionByRange(buckets, *[F.col(p) for p in partition], *order_cols) \
         .withColumn("__pid", F.spark_partition_id()).checkpoint()
