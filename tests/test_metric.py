@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,33 @@ def test_points_are_never_broadcast(spark):
     for out in (MT.knn_distances(points, 5), MT.eps_neighbours_nd(points, 0.5), MT.dbscan_nd(points, 0.5)):
         assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin [id" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_points_meet_few_others(spark, monkeypatch):
+    """Ten times the points: a visit meets three times as many at most, as boxes and leaves are of bounded size."""
+    met = []
+    pairs = MT._pairs
+    monkeypatch.setattr(MT, "_pairs", lambda x, y, reach: met.append(len(x) * len(y)) or pairs(x, y, reach))
+    each = []
+    for n in (2000, 20000):
+        x = np.random.default_rng(n).normal(0, 1, (n, 3))
+        v = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * n + 1, 3), pa.int32()), pa.array(x.ravel()))
+        t = pa.table({"id": np.arange(n), "v": v, "m": np.ones(n, int), "reach": np.full(n, np.inf)})
+        met.clear()
+        near = MT.nearest_of(t, t, 5)[0]
+        each.append(sum(met) / n)
+        for i in range(0, n, n // 20):
+            assert np.allclose(near[i], np.sort(MT.distances(x[i:i + 1], x)[0])[1:6], rtol=0, atol=1e-12)
+    assert each[1] < 3 * each[0] < 20000
+    df, cols = frame(spark, np.round(x[:3000], 2))
+    laid, cells = MT.boxes(MT.points_nd(df, cols), each=200)
+    sizes = [r["count"] for r in laid.groupBy("cell").count().collect()]
+    assert len(cells.low) == 16 and max(sizes) < 800
+
+
+def test_nearest_points_of_ties_and_one_long_axis(spark):
+    """Whole numbers along one axis, a constant beside it: cuts at equal coordinates, boxes without extent."""
+    x = np.c_[np.repeat(np.arange(120.0), 2), np.zeros(240)]
+    df, cols = frame(spark, x)
+    got = by_vector(MT.knn_distances(MT.points_nd(df, cols), 3, 64, 3).collect(), "m", "knn")
+    assert got == {(float(i), 0.0): (2, 1.0) for i in range(120)}
