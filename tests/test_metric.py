@@ -135,6 +135,21 @@ def test_silhouette_against_all_pairs(spark):
     assert SI.silhouette_exact(df, "id", "k", ["a"], F.lit(False)).count() == 0
 
 
+def test_silhouette_of_all_rows(spark):
+    """Every row is asked, copies of a row and a place of several clusters too, over many tiles."""
+    r = np.random.default_rng(5)
+    x, c = r.integers(0, 9, (600, 2)).astype(float), r.integers(0, 3, 600)
+    df = spark.createDataFrame([(str(i), int(c[i]), *map(float, x[i])) for i in range(600)] + [(None, 0, 1.0, 1.0)], "id string, k int, a double, b double")
+    x, c = np.r_[x, [[1.0, 1.0]]], np.r_[c, 0]
+    d = MT.distances(x, x)
+    got = {t.id: t for t in SI.silhouette_exact(df.repartition(3), "id", "k", ["a", "b"], block=7).collect()}
+    assert len(got) == 601 and None in got
+    for i, own in enumerate(c):
+        a, b = d[i][c == own].sum() / ((c == own).sum() - 1), min(d[i][c == k].mean() for k in {0, 1, 2} - {own})
+        t = got[str(i) if i < 600 else None]
+        assert t.k == own and math.isclose(t.a, a) and math.isclose(t.b, b) and math.isclose(t.silhouette, (b - a) / max(a, b), abs_tol=1e-12)
+
+
 # --- K-Means
 
 
