@@ -174,6 +174,57 @@ def test_one_round_for_all_models_equals_plain_lloyd(spark):
     points.unpersist()
 
 
+@pytest.mark.parametrize("data", [False, True])
+def test_first_moves_over_all_points_are_lloyds(spark, data):
+    r = np.random.default_rng(11)
+    x = np.round(r.normal(size=(900, 2)), 1)  # copies count
+    points = spark.createDataFrame([(v.tolist(), i % 2) for i, v in enumerate(x)], "v array<double>, data int").repartition(3)
+    points = points if data else points.select("v")
+    made = [MM.starts_of(np.unique(x, axis=0), [1, 3, 6], 4) for _ in range(2)]
+    for models in made if data else []:
+        for i, m in enumerate(models):
+            m.data = i % 2
+    MM.lloyd(points, made[0], tolerance=1e-6)
+    assert MM.first_moves(points, made[1], 1e-6)
+    for a, b in zip(*made):
+        assert math.isclose(a.wss, b.wss, rel_tol=1e-9) and np.allclose(a.centres, b.centres) and a.counts.tolist() == b.counts.tolist()
+
+
+def test_starts_over_a_part_settle_over_all_points(spark):
+    """Starts that meet go on as one; what they end in is at rest over all points, in fewer rounds of theirs."""
+    r = np.random.default_rng(12)
+    x = np.concatenate([r.normal(c, 1.5, (500, 3)) for c in np.eye(3) * 6])
+    points = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(5).cache()
+    starts = lambda: MM.starts_of(x, [1, 3, 5], 8)
+    rounds, plain = [], MM._round
+
+    def counted(*a):
+        rounds.append(len(a[1]))
+        return plain(*a)
+    MM._round = counted
+    try:
+        models, held = MM.settle(points, starts(), 1e-6, part=200)
+        few = sum(rounds)
+        rounds.clear()
+        MM.lloyd(points, alone := starts(), tolerance=1e-6)
+    finally:
+        MM._round = plain
+    assert held is not None and few < sum(rounds) and len([m for m in models if m.k == 3]) < 8
+    for m in models:
+        d = MT.distances(x, m.centres) ** 2
+        own = d.argmin(axis=1)
+        means = np.array([x[own == k].mean(axis=0) for k in range(m.k)])
+        gain = d.min(axis=1).sum() - (MT.distances(x, means) ** 2).min(axis=1).sum()
+        assert math.isclose(m.wss, d.min(axis=1).sum(), rel_tol=1e-9) and abs(gain) <= 2e-6 * m.wss
+    assert min(m.wss for m in models if m.k == 3) <= min(m.wss for m in alone if m.k == 3) * (1 + 1e-5)
+    assert not MM.first_moves(points, starts(), 1e-6, part=200)
+    again = MM.packed(points)
+    for a, b in zip(MM._round(points, models, False), MM._round(again, models, False)):
+        assert np.allclose(a[0], b[0]) and np.allclose(a[1], b[1]) and math.isclose(a[2], b[2])
+    two = MM.best_models(points, [1, 2, 3], part=200)
+    assert sorted(two) == [1, 2, 3] and sorted(two[3].counts.tolist()) == sorted(MM.best_models(points, [3])[3].counts.tolist())
+
+
 def test_hartigan_goes_below_lloyd(spark):
     # Lloyd rests with the three lower points together: 1.85 is nearer to their mean, yet leaving it pays.
     x = np.array([[-0.6], [0.6], [1.85], [3.1]])
